@@ -223,6 +223,15 @@ class Merges:
         return np.array([x for x in sym if x >= 0], "<u4").tobytes()
 
 
+#: Code points that are letters or numbers in regex's tables and not yet in the library's.
+_NEWER = (
+    "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 "
+    "10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 "
+    "16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 "
+    "1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed "
+    "1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f "
+)
+_NEW = re.compile("[" + "".join("-".join(chr(int(c, 16)) for c in x.split("-")) for x in _NEWER.split()) + "]")
 _ASCII = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9 \t-\r]+")
 
 
@@ -251,11 +260,14 @@ class Coder:
 
     def _ready(self) -> None:
         self._split = regex.compile(self.pattern)
+        new, kinds = _NEW.pattern, {r"[^\s\p{L}\p{N}]": "(?:{0}|[^\\s\\p{{L}}\\p{{N}}])", r"[\p{L}]": "(?:(?!{0})\\p{{L}})", r"[\p{N}]": "(?:(?!{0})\\p{{N}})"}
+        parts = re.split("(" + "|".join(map(re.escape, kinds)) + ")", self.pattern)
+        self._old = regex.compile("".join(kinds[x].format(new) if x in kinds else x for x in parts))
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._kept: dict[str, bytes] = {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_split", "_special", "_kept", "_fst", "whole")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_split", "_old", "_special", "_kept", "_fst", "whole")}
 
     def __setstate__(self, state):
         self.__dict__ |= state | {"_fst": None, "whole": []}
@@ -311,7 +323,8 @@ class Coder:
             return _ASCII.findall(text.lower())
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        return self._split.findall(text.replace("Σ", "σ").lower())
+        text = text.replace("Σ", "σ").lower()
+        return (self._old if _NEW.search(text) else self._split).findall(text)
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""

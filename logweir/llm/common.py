@@ -21,8 +21,9 @@ _rng = np.random.default_rng(20240229)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[65:91] = _BYTE[97:123]
 _BYTE[SPACE] = 0
+_FOLDED = _BYTE.copy()
+_FOLDED[65:91] = _FOLDED[97:123]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(256, np.uint64)
 _POWERS[1:] = np.cumprod(np.full(255, _BASE, np.uint64))
@@ -104,28 +105,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def word_hashes(buf: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """Case-folded 64-bit hashes of the words that start at ``s``."""
+def word_hashes(buf: np.ndarray, s: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64-bit hashes of the words that start at ``s`` and are followed by space or another word; ``fold``: A-Z as a-z."""
     global _POWERS
     if not len(s):
         return np.zeros(0, np.uint64)
     body = buf[s[0] :]
     at = s - s[0]
     lengths = np.diff(np.append(at, len(body)))
+    bytes_ = (_FOLDED if fold else _BYTE)[body]
     most = int(lengths.max())
     if most > len(_POWERS):
         _POWERS = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(most * 2, _BASE, np.uint64))])
     place = np.arange(len(body)) - np.repeat(at, lengths)
-    return mix(np.add.reduceat(_BYTE[body] * _POWERS[place], at))
+    return mix(np.add.reduceat(bytes_ * _POWERS[place], at))
 
 
-def hashed_rows(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray]]:
+def hashed_rows(column, fold: bool = True, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray]]:
     """(row, word hashes) for each row of a string column."""
     buf, off = buffers(column)
     for i, j in slices(off, limit):
         part, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
         s, _, w = word_bounds(part, o)
-        h = word_hashes(part, s)
+        h = word_hashes(part, s, fold)
         for r in range(j - i):
             yield i + r, h[w[r] : w[r + 1]]
 

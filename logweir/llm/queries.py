@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import bpe, line_dedup
-from logweir.llm.common import table
+from logweir.llm import bpe, decontaminate, line_dedup, quality_rules
+from logweir.llm.common import cut, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -20,12 +20,22 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded_text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe, op7_line_dedup)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = cut(quality_rules.measured(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    out = quality_rules.judged(seen, quality_rules.fit(seen))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+QUERIES = {f.__name__: f for f in (op5_bpe, op6_decontamination, op7_line_dedup, op10_quality_rules)}
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
