@@ -175,3 +175,17 @@ def minimisers(g: np.ndarray, w: int) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, balanced: bool = False) -> DataFrame:
+    """(label int, text) of at most ``rows`` labelled documents that are not held out, by the order of a hash of the id.
+
+    ``balanced``: at most half of them from either class.  Rows without a label are left
+    out; of several labels of one document the largest counts, of several texts each.
+    The ids are bounded by ``rows`` before they meet the documents.
+    """
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+    known = known.filter(~held_out(F.col("doc_id"))).withColumn("at", F.xxhash64("doc_id"))
+    kinds = [known.filter(F.col("label") == k).orderBy("at", "doc_id").limit(rows // 2) for k in (0, 1)] if balanced else [known.orderBy("at", "doc_id").limit(rows)]
+    ids = kinds[0] if len(kinds) == 1 else kinds[0].unionByName(kinds[1])
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "text")
