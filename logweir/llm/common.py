@@ -189,3 +189,33 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, bal
     kinds = [known.filter(F.col("label") == k).orderBy("at", "doc_id").limit(rows // 2) for k in (0, 1)] if balanced else [known.orderBy("at", "doc_id").limit(rows)]
     ids = kinds[0] if len(kinds) == 1 else kinds[0].unionByName(kinds[1])
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "text")
+
+
+def spread(df: DataFrame, other: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """df joined to other on a long ``key``, both sides dealt anew for it.
+
+    A side that an aggregate has left dealt by the key keeps adaptive execution from
+    splitting a hot key of the other; a computed key makes Spark deal both.
+    """
+    left, right = df.withColumn("_at", F.col(key).bitwiseXOR(F.lit(1))), other.withColumn("_at", F.col(key).bitwiseXOR(F.lit(1))).drop(key)
+    return left.join(right, "_at", how).drop("_at")
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, label) of the nodes that have links; label: the least node of the component.
+
+    Each round takes the least label among the neighbours and then the label's own label;
+    rounds go on until no label changes.  Only counts reach the driver.
+    """
+    pair = links.select(F.col(a).alias("node"), F.col(b).alias("next"))
+    edges = cut(pair.unionByName(pair.select(F.col("next").alias("node"), F.col("node").alias("next"))).distinct())
+    labels = cut(edges.groupBy("node").agg(F.least(F.min("next"), F.first("node")).alias("label")))
+    while True:
+        heard = spread(edges.select("node", F.col("next").alias("by")), labels.select(F.col("node").alias("by"), F.col("label").alias("theirs")), "by")
+        least = heard.groupBy("node").agg(F.min("theirs").alias("theirs"))
+        new = labels.join(least, "node").select("node", "label", F.least("label", "theirs").alias("new"))
+        up = labels.select(F.col("node").alias("new"), F.col("label").alias("up"))
+        new = cut(spread(new, up, "new").select("node", F.least("new", "up").alias("new"), (F.least("new", "up") != F.col("label")).alias("moved")).withColumnRenamed("new", "label"))
+        labels = new.select("node", "label")
+        if not new.filter("moved").take(1):
+            return labels

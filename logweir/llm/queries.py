@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import bpe, decontaminate, line_dedup, quality_classifier, quality_rules
+from logweir.llm import bpe, decontaminate, line_dedup, near_dedup, quality_classifier, quality_rules
 from logweir.llm.common import cut, held_out, table
 
 
@@ -35,13 +35,17 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_class", "stands")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = cut(quality_rules.measured(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     out = quality_rules.judged(seen, quality_rules.fit(seen))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier, op5_bpe, op6_decontamination, op7_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_quality_classifier, op5_bpe, op6_decontamination, op7_line_dedup, op9_near_dedup, op10_quality_rules)}
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
