@@ -38,6 +38,8 @@ BANDS, ROWS = 26, 5
 LEAST = 80
 #: Shingles whose signatures are made together.
 _LOT = 1 << 18
+#: Longs of the bitmap that bounds how many items of two sets differ.
+PARITY = 8
 _SEED = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -162,20 +164,39 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(own), b.column(0).take(pa.array([r] * n, pa.int64())), b.column(1).take(pa.array([r] * n, pa.int64())), pa.array(np.full(n, n, np.int64))], ["item", "node", "label", "n"])
 
 
+def _parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, PARITY * 64 bits: whether an odd number of items falls on each)."""
+    for b in batches:
+        out = []
+        for x in b.column(1):
+            own = np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64)
+            odd = np.bincount((mix(own) % np.uint64(PARITY * 64)).astype(np.int64), minlength=PARITY * 64) % 2
+            out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+        bits = np.array(out, np.int64).reshape(-1, PARITY)
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(bits[:, k]) for k in range(PARITY))], ["node", *(f"p{k}" for k in range(PARITY))])
+
+
 def missed_pairs(nodes: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
     """Pairs of nodes (node, label) of different labels that may be alike, by rarest items first.
 
     A set of n items that is alike to another shares one of its n - ceil(n t) + 1 rarest
-    items with it; at the first shared item the rest of either set bounds the overlap.
+    items with it; at the first shared item the rest of either set bounds the overlap, and
+    so does the number of bits in which the sets' parity bitmaps differ: no two sets differ
+    in fewer items.
     """
     items = cut(nodes.join(sets, "node").select("node", "label", "items").mapInArrow(_items, "item long, node long, label long, n long"))
     often = items.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
     ranked = spread(items, often, "item").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("own"))
     prefix = F.slice("own", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least / F.lit(100)) + 1).cast("int"))
-    first = cut(ranked.select("node", "label", "n", F.posexplode(prefix).alias("at", "it")).filter("it.often > 1").select(F.col("it.item").alias("item"), "node", "label", "n", (F.col("n") - F.col("at")).alias("rest")))
-    a = first.select("item", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", "n", "rest")])
-    b = first.select("item", *[F.col(c).alias(f"b_{c}") for c in ("node", "label", "n", "rest")])
-    enough = F.least("a_rest", "b_rest") * (100 + least) >= least * (F.col("a_n") + F.col("b_n"))
+    ranked = ranked.select("node", "label", "n", F.posexplode(prefix).alias("at", "it")).filter("it.often > 1")
+    bits = [f"p{k}" for k in range(PARITY)]
+    parity = nodes.select("node").join(sets, "node").select("node", "items").mapInArrow(_parity, ", ".join(f"{c} long" for c in ["node", *bits]))
+    own = ["node", "label", "n", "rest", *bits]
+    first = cut(ranked.select(F.col("it.item").alias("item"), "node", "label", "n", (F.col("n") - F.col("at")).alias("rest")).join(parity, "node"))
+    a, b = (first.select("item", *[F.col(c).alias(f"{x}_{c}") for c in own]) for x in "ab")
+    total = F.col("a_n") + F.col("b_n")
+    differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in bits), F.lit(0))
+    enough = (F.least("a_rest", "b_rest") * (100 + least) >= least * total) & ((total - differ) * (100 + least) >= 2 * least * total)
     return a.join(b, (a["item"] == b["item"]) & (F.col("a_label") < F.col("b_label")) & enough).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
