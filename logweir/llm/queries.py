@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import bpe, decontaminate, language, line_dedup, near_dedup, quality_classifier, quality_rules, toxicity
+from logweir.llm import bpe, decontaminate, language, line_dedup, near_dedup, quality_classifier, quality_rules, suffix_dedup, toxicity
 from logweir.llm.common import cut, held_out, table
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -58,7 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality_classifier, op4_language, op5_bpe, op6_decontamination, op7_line_dedup, op9_near_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_quality_classifier, op4_language, op5_bpe, op6_decontamination, op7_line_dedup, op9_near_dedup, op10_quality_rules)}
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
