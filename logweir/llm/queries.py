@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import bpe, decontaminate, language, line_dedup, near_dedup, quality_classifier, quality_rules, suffix_dedup, toxicity
+from logweir.llm import bpe, chain_dedup, decontaminate, language, line_dedup, near_dedup, quality_classifier, quality_rules, suffix_dedup, toxicity
 from logweir.llm.common import cut, held_out, table
 
 
@@ -52,6 +52,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op8_chain_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain_dedup.passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_class", "stands")
 
@@ -62,7 +66,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_quality_classifier, op4_language, op5_bpe, op6_decontamination, op7_line_dedup, op9_near_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_quality_classifier, op4_language, op5_bpe, op6_decontamination, op7_line_dedup, op8_chain_dedup, op9_near_dedup, op10_quality_rules)}
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -87,68 +87,95 @@ def suffixes(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX) -> DataF
     return docs.select("text").mapInArrow(lambda batches: once(batches, make), "key long, node long, pos long")
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, node, pos) -> what is found, left open, and the first and last run of the partition."""
-    names = ["kind", "key", "node", "pos", "other"]
+_SCHEMA = "kind int, key long, node long, pos long, other long, other_pos long, before long, before_pos long"
+
+
+def _rows(kind: int, key, node, pos, other, other_pos, before=None, before_pos=None, some=None) -> pa.RecordBatch:
+    """some: where there is a before."""
+    n = len(node)
+    none = np.ones(n, bool) if some is None else ~some
+    last = [pa.array(np.zeros(n, np.int64) if x is None else x, mask=none) for x in (before, before_pos)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (key, node, pos, other, other_pos)), *last], [x.split()[0] for x in _SCHEMA.split(", ")])
+
+
+class _Run:
+    """The equal keys that the rows seen so far end with: the first and last row, the first row of a second node, and the places that wait for one."""
 
-    def rows(kind: int, key, node, pos, other) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(node), kind, np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (key, node, pos, other))], names)
+    def __init__(self, key, first, second, last, open_, opens):
+        self.key, self.first, self.second, self.last, self.open, self.opens = key, first, second, last, open_, opens
+
+    def edge(self) -> list[pa.RecordBatch]:
+        n = len(self.open)
+        same = [np.full(n, x, np.int64) for x in (self.key, self.first[0], self.first[0], self.first[1])]
+        return [_rows(_RUN, [self.key], [self.first[0]], [self.first[1]], [self.last[0]], [self.last[1]]), _rows(_OPEN, same[0], same[1], self.open, same[2], same[3])]
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, node, pos) -> what is found, left open, and the first and last run of the partition.
 
-    run = None  # the run that goes on: key, first node, second node or None, last node, open places, whether it is the first
+    Found rows have the first other node of their run and, if it is another one, the node of the row before.
+    """
+    run: _Run | None = None
     for b in batches:
         key, node, pos = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        n = len(key)
-        if not n:
+        if not len(key):
             continue
-        new = np.ones(n, bool)
+        goes_on = run is not None and key[0] == run.key
+        if run is not None and not goes_on and run.opens:
+            yield from run.edge()
+        new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
-        goes_on = run is not None and key[0] == run[0]
-        if run is not None and not goes_on:
-            if run[5]:
-                yield rows(_RUN, [run[0]], [run[1]], [0], [run[3]])
-                yield rows(_OPEN, np.full(len(run[4]), run[0]), np.full(len(run[4]), run[1]), run[4], np.full(len(run[4]), run[1]))
-        starts = np.flatnonzero(new)
-        of = np.cumsum(new) - 1
-        first = node[starts].copy()
+        starts, of = np.flatnonzero(new), np.cumsum(new) - 1
+        first, first_pos = node[starts].copy(), pos[starts].copy()
+        before, before_pos = np.roll(node, 1), np.roll(pos, 1)
+        some = ~new
         if goes_on:
-            first[0] = run[1]
-        other = first[of]
-        differs = node != other
-        at = np.flatnonzero(differs)
-        second, known = first.copy(), np.zeros(len(starts), bool)
-        second[of[at][::-1]] = node[at][::-1]  # the first of each run stays
-        known[of[at]] = True
-        if goes_on and run[2] is not None:
-            second[0], known[0] = run[2], True
-        if goes_on and known[0] and len(run[4]):
-            yield rows(_FOUND, np.full(len(run[4]), key[0]), np.full(len(run[4]), run[1]), run[4], np.full(len(run[4]), second[0]))
+            first[0], first_pos[0] = run.first
+            before[0], before_pos[0], some[0] = *run.last, True
+        differs = node != first[of]
+        some &= differs & (before != node) & (before != first[of])
+        at = np.flatnonzero(differs)[::-1]
+        second, second_pos, known = first.copy(), first_pos.copy(), np.zeros(len(starts), bool)
+        second[of[at]], second_pos[of[at]], known[of[at]] = node[at], pos[at], True  # the first of each run stays
+        if goes_on and run.second is not None:
+            (second[0], second_pos[0]), known[0] = run.second, True
+        if goes_on and known[0] and len(run.open):
+            n = len(run.open)
+            yield _rows(_FOUND, *(np.full(n, x) if np.ndim(x) == 0 else x for x in (key[0], run.first[0], run.open, second[0], second_pos[0])))
         found = differs | known[of]
-        yield rows(_FOUND, key[found], node[found], pos[found], np.where(differs, other, second[of])[found])
-        is_first = run is None or (goes_on and run[5])
-        last = len(starts) - 1
-        if last > 0 and is_first:  # the partition's first run ends in this batch
-            end = starts[1] - 1
-            yield rows(_RUN, [key[0]], [first[0]], [0], [node[end]])
-            if not known[0]:
-                left = pos[: starts[1]] if not goes_on else np.concatenate([run[4], pos[: starts[1]]])
-                yield rows(_OPEN, np.full(len(left), key[0]), np.full(len(left), first[0]), left, np.full(len(left), first[0]))
-        left = np.zeros(0, np.int64) if known[last] else pos[starts[last] :]
-        if goes_on and last == 0 and not known[0]:
-            left = np.unique(np.concatenate([run[4], left]))
-        run = (key[-1], first[last], second[last] if known[last] else None, node[-1], left, is_first and last == 0)
+        theirs, places = np.where(differs, first[of], second[of]), np.where(differs, first_pos[of], second_pos[of])
+        yield _rows(_FOUND, *(x[found] for x in (key, node, pos, theirs, places, before, before_pos, some)))
+
+        opens, last = run is None or (goes_on and run.opens), len(starts) - 1
+        waiting = run.open if goes_on else np.zeros(0, np.int64)
+        end = starts[1] if last else len(key)
+        mine = np.zeros(0, np.int64) if known[0] else np.unique(np.concatenate([waiting, pos[:end]]))
+        run = _Run(key[0], (first[0], first_pos[0]), (second[0], second_pos[0]) if known[0] else None, (node[end - 1], pos[end - 1]), mine, opens)
+        if last:
+            if opens:  # the partition's first run ends in this batch
+                yield from run.edge()
+            z = starts[last]
+            run = _Run(key[-1], (first[last], first_pos[last]), (second[last], second_pos[last]) if known[last] else None, (node[-1], pos[-1]), np.zeros(0, np.int64) if known[last] else np.unique(pos[z:]), False)
     if run is not None:
-        yield rows(_RUN, [run[0]], [run[1]], [0], [run[3]])
-        yield rows(_OPEN, np.full(len(run[4]), run[0]), np.full(len(run[4]), run[1]), run[4], np.full(len(run[4]), run[1]))
+        yield from run.edge()
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """(node, pos, other) of the rows (key, node, pos) whose key another node has too; other: one such node."""
+    """The rows (key, node, pos) whose key another node has too, as (node, pos, other, other_pos, before, before_pos).
+
+    other: the first node in order that has the key, of the part of the order that a task
+    has; for that node itself, the second.  before: the node before in order, null if it is
+    the same as either.
+    """
     order = rows.repartitionByRange("key", "node", "pos").sortWithinPartitions("key", "node", "pos")
-    out = cut(order.mapInArrow(_neighbours, "kind int, key long, node long, pos long, other long"))
-    runs = out.filter(F.col("kind") == _RUN).groupBy("key").agg(F.min("node").alias("low"), F.max("other").alias("high")).filter("low <> high")
+    out = cut(order.mapInArrow(_neighbours, _SCHEMA))
+    low, high = F.min(F.struct("node", "pos")).alias("low"), F.max(F.struct(F.col("other").alias("node"), F.col("other_pos").alias("pos"))).alias("high")
+    runs = out.filter(F.col("kind") == _RUN).groupBy("key").agg(low, high).filter("low.node <> high.node")
     # at most two rows of each partition, hence safe to broadcast
-    late = out.filter(F.col("kind") == _OPEN).join(F.broadcast(runs), "key").select("node", "pos", F.when(F.col("node") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))
-    return out.filter(F.col("kind") == _FOUND).select("node", "pos", "other").unionByName(late)
+    other = F.when(F.col("node") == F.col("low.node"), F.col("high")).otherwise(F.col("low"))
+    late = out.filter(F.col("kind") == _OPEN).join(F.broadcast(runs), "key").withColumn("theirs", other)
+    late = late.select("node", "pos", F.col("theirs.node").alias("other"), F.col("theirs.pos").alias("other_pos"), "before", "before_pos")
+    return out.filter(F.col("kind") == _FOUND).select(*late.columns).unionByName(late)
 
 
 def _extended(least: int, prefix: int):
@@ -195,13 +222,24 @@ def repeats(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX) -> DataFr
     runs = texts_of(docs, own, seeds, "places").mapInArrow(_extended(least, prefix), "key long, node long, pos long")
     spans = cut(shared(runs).groupBy("node").agg(F.collect_list(F.struct("pos", "other")).alias("own")).mapInArrow(_spans(least), "node long, start long, length long, other long"))
 
+    copies = copied(own, least)
+    single = spread(spread(spans, copies.filter("NOT copied").select("node"), "node"), copies.select(F.col("node").alias("other"), F.col("low").alias("other_id")), "other")
+    a = spread(rows_of(own), single.select("node", "start", "length", "other_id"), "node").select("doc_id", "start", "length", "other_id")
+    return a.unionByName(whole(own, copies))
+
+
+def rows_of(own: DataFrame) -> DataFrame:
+    return own.select("doc_id", "node").filter("node IS NOT NULL").distinct()
+
+
+def copied(own: DataFrame, least: int) -> DataFrame:
+    """(node, low, high: its documents, n_words, copied: whether several documents have it and it is long enough)."""
     ids = own.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("n_words").alias("n_words"))
-    copied = F.coalesce(F.col("low") != F.col("high"), F.lit(False)) & (F.col("n_words") >= least)
-    known = cut(ids.withColumn("copied", copied))
-    others = known.select(F.col("node").alias("other"), F.col("low").alias("other_id"))
-    single = spread(spans, known.filter("NOT copied").select("node"), "node")
-    single = spread(single, others, "other").select("node", "start", "length", "other_id")
-    whole = known.filter("copied").select("node", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("length"), "low", "high")
-    a = spread(own.select("doc_id", "node").filter("node IS NOT NULL").distinct(), single, "node").select("doc_id", "start", "length", "other_id")
-    b = spread(own.select("doc_id", "node").filter("node IS NOT NULL").distinct(), whole, "node")
-    return a.unionByName(b.select("doc_id", "start", "length", F.when(F.col("doc_id").eqNullSafe(F.col("low")), F.col("high")).otherwise(F.col("low")).alias("other_id")))
+    return cut(ids.withColumn("copied", F.coalesce(F.col("low") != F.col("high"), F.lit(False)) & (F.col("n_words") >= least)))
+
+
+def whole(own: DataFrame, copies: DataFrame) -> DataFrame:
+    """(doc_id, start, length, other_id) of the documents whose words another document has as a whole."""
+    both = spread(rows_of(own), copies.filter("copied").drop("copied"), "node")
+    other = F.when(F.col("doc_id").eqNullSafe(F.col("low")), F.col("high")).otherwise(F.col("low"))
+    return both.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("length"), other.alias("other_id"))

@@ -81,6 +81,8 @@ def test_neighbours_over_batches_and_partitions(spark, cuts, size):
     for r in kinds[2]:
         runs[r["key"]] += [r["node"], r["other"]]
     got = {(r["node"], r["pos"], r["key"]) for r in kinds[0]} | {(r["node"], r["pos"], r["key"]) for r in kinds[1] if min(runs[r["key"]]) != max(runs[r["key"]])}
+    assert all(r["before"] is None or (r["before"] not in (r["node"], r["other"]) and (r["key"], r["before"], r["before_pos"]) in rows) for r in kinds[0])
+    assert all((r["key"], r["other"], r["other_pos"]) in rows for r in kinds[0])
     assert got == {(5, 0, 1), (5, 3, 1), (6, 1, 1), (7, 1, 3), (7, 2, 3), (8, 1, 3), (9, 1, 3)}
     assert all(r["node"] != r["other"] for r in kinds[0])
 
