@@ -7,8 +7,6 @@ a string for a keyword, tokens for text and paths (and ``w_<title>``, the path i
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,27 +17,24 @@ from logweir.plans.compile import Column_, Fields
 from logweir.sources.mapping import Field, Mapping
 
 
-def _path(*keys: str) -> str:
-    return "$" + "".join("['" + k.replace("'", "") + "']" for k in keys)
-
-
-def _paths(name: str) -> list[str]:
-    """JSON paths of a dotted name: dots are levels or part of the keys."""
-    keys = name.split(".")
-    out = [_path(*keys)]
-    for i in range(1, len(keys)):
-        out.append(_path(*keys[:i], ".".join(keys[i:])))
-        out.append(_path(".".join(keys[: i + 1]), *keys[i + 1 :]))
-    return list(dict.fromkeys(out))
+_MAP = "map<string,string>"
 
 
-def _dig(json: Column, name: str) -> Column:
-    return F.coalesce(*[F.try_variant_get(json, p, "variant") for p in _paths(name)])
+def _value(at: Column, key: str) -> Column:
+    """The text of a key's value, strings as they are and others as JSON; null is ``null``."""
+    v = F.try_element_at(at, F.lit(key))
+    return F.coalesce(v, F.when(F.map_contains_key(at, F.lit(key)), F.lit("null")))
 
 
-def _spelt(v: Column) -> Column:
-    """A JSON value as text: strings as they are, others as JSON; null is ``null``."""
-    return F.when(F.is_variant_null(v), F.lit("null")).otherwise(F.try_variant_get(v, "$", "string"))
+def _dig(at: Column, name: str, objects: dict[str, Column]) -> Column:
+    """The text at a dotted name: dots are levels or part of the keys; objects: those that are parsed already."""
+    out = [_value(at, name)]
+    keys = name.split(".")
+    for i in range(len(keys) - 1, 0, -1):
+        head = ".".join(keys[:i])
+        inner = objects[head] if head in objects else F.from_json(F.try_element_at(at, F.lit(head)), _MAP)
+        out.append(_value(inner, ".".join(keys[i:])))
+    return F.coalesce(*out)
 
 
 def _element_name(f: Field) -> str:
@@ -56,11 +51,10 @@ def column_of(f: Field, value: Column, partial: bool, exact: bool, token_bytes:
     return None
 
 
-def _tag(json: Column, parent: str, key: str) -> tuple[Column, Column]:
+def _tag(entries: Column, key: str) -> tuple[Column, Column]:
     """(value, presence) of a key in an array of {key, value}."""
-    entries = F.coalesce(*[F.try_variant_get(json, p, "array<struct<key:string,value:variant>>") for p in _paths(parent)])
-    found = F.filter(entries, lambda x: x["key"] == key)
-    return _spelt(F.get(found, 0)["value"]), F.coalesce(F.size(found) > 0, F.lit(False))
+    found = F.filter(entries, lambda x: F.try_element_at(x, F.lit("key")) == key)
+    return _value(F.get(found, 0), "value"), F.coalesce(F.size(found) > 0, F.lit(False))
 
 
 def index_rows(docs: DataFrame, mapping: Mapping, partial: bool = False, case_sensitive: bool = False, token_bytes: int = 72, text_bytes: int = 32768) -> DataFrame:
@@ -68,7 +62,7 @@ def index_rows(docs: DataFrame, mapping: Mapping, partial: bool = False, case_se
 
     A nested row has the fields of its document too.
     """
-    rows = docs.withColumn("_json", F.try_parse_json("doc"))
+    rows = _once(docs, {"_json": F.from_json("doc", _MAP)})
     own = [f for f in mapping.searched() if f.parent_kind != "nested"]
     tags = mapping.of_kind("tags")
     lists = [f for f in mapping.of_kind("nested") if f.parent_kind != "nested"]
@@ -82,41 +76,61 @@ def index_rows(docs: DataFrame, mapping: Mapping, partial: bool = False, case_se
             out[f"w_{f.title}"] = F.when(F.octet_length(value) <= (f.size or token_bytes), text.folded(value, case_sensitive))
         return out
 
+    parsed = {f"_o_{f.name}": F.from_json(_dig(F.col("_json"), f.name, {}), _MAP) for f in mapping.of_kind("object") if f.parent_kind != "nested"}
+    parsed |= {f"_t_{f.name}": F.from_json(_dig(F.col("_json"), f.name, {}), f"array<{_MAP}>") for f in tags if f.parent_kind != "nested"}
+    rows = _once(rows, parsed)
+    objects = {c[3:]: F.col(f"`{c}`") for c in parsed if c.startswith("_o_")}
+
     made: dict[str, Column] = {}
     for f in own:
-        parent = next((t for t in tags if f.name.startswith(t.name + ".")), None)
+        parent = next((t for t in tags if f.name.startswith(t.name + ".") and t.parent_kind != "nested"), None)
         if parent:
-            made |= columns(f, *_tag(F.col("_json"), parent.name, f.name[len(parent.name) + 1 :]))
+            made |= columns(f, *_tag(F.col(f"`_t_{parent.name}`"), f.name[len(parent.name) + 1 :]))
         else:
-            v = _dig(F.col("_json"), f.name)
-            made |= columns(f, _spelt(v), v.isNotNull())
-    rows = rows.withColumns(made).withColumns({"nested_path": F.lit(None).cast("string"), "nested_pos": F.lit(None).cast("int"), "size": F.octet_length("doc")})
-    empty = {f"{p}{f.title}": t for n in lists for f in mapping.searched() if f.parent == n.name for p, t in _types(f).items()}
-    parts = [rows.withColumns({c: F.lit(None).cast(t) for c, t in empty.items()})]
+            made[f"v_{f.title}"] = _dig(F.col("_json"), f.name, objects)
+    values = [c for c in made if c.startswith("v_")]
+    rows = _once(rows, {c: made.pop(c) for c in values})
+    for f in own:
+        if f"v_{f.title}" in values:
+            v = F.col(f"`v_{f.title}`")
+            made |= columns(f, v, v.isNotNull())
+    rows = rows.withColumns(made | {"size": F.octet_length("doc")}) if not lists else _once(rows, made | {"size": F.octet_length("doc")})
+    nothing = F.struct(F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast(_MAP).alias("element"))
+    elements = [F.array(nothing)]
     for n in lists:
-        elements = F.coalesce(*[F.try_variant_get("_json", p, "array<variant>") for p in _paths(n.name)])
-        each = rows.select("*", F.posexplode(elements).alias("_pos", "_element"))
-        inner: dict[str, Column] = {}
+        found = F.coalesce(F.from_json(_dig(F.col("_json"), n.name, objects), f"array<{_MAP}>"), F.array().cast(f"array<{_MAP}>"))
+        elements.append(F.transform(found, _placed(n.title)))
+    rows = rows.withColumn("_each", F.explode(F.concat(*elements))) if lists else rows.withColumn("_each", nothing)
+    inner: dict[str, Column] = {"nested_path": F.col("_each.path"), "nested_pos": F.col("_each.pos")}
+    for n in lists:
+        here = F.when(F.col("_each.path") == n.title, F.col("_each.element"))
         for f in mapping.searched():
             if f.parent == n.name and f.parent_kind == "nested":
-                v = _dig(F.col("_element"), _element_name(f))
-                inner |= columns(f, _spelt(v), v.isNotNull())
-        each = each.withColumns(inner | {"nested_path": F.lit(n.title), "nested_pos": F.col("_pos"), "size": F.lit(0)})
-        each = each.withColumns({c: F.lit(None).cast(t) for c, t in empty.items() if c not in inner}).drop("_pos", "_element")
-        parts.append(each)
-    out = reduce(DataFrame.unionByName, parts)
-    flags = [c for c in out.columns if c.startswith("e_")]
+                v = _dig(here, _element_name(f), {})
+                inner |= columns(f, v, v.isNotNull())
+    flags = [c for c in [*made, *inner] if c.startswith("e_")]
+    rows = rows.withColumns(inner)
+    if lists:
+        rows = rows.withColumn("size", F.when(F.col("nested_path").isNull(), F.col("size")).otherwise(F.lit(0)))
     has = F.array(*[F.when(F.col(f"`{c}`"), F.lit(c[2:])) for c in flags]) if flags else F.array().cast("array<string>")
-    return out.withColumn("has", F.array_compact(has)).drop("_json", *[f"`{c}`" if False else c for c in flags])
+    return rows.withColumn("has", F.array_compact(has)).drop("_json", "_each", *parsed, *values, *flags)
 
 
-def _types(f: Field) -> dict[str, str]:
-    out = {"e_": "boolean"}
-    if f.kind != "exists":
-        out["f_"] = "string" if f.kind == "keyword" else "array<string>"
-    if f.kind == "path":
-        out["w_"] = "string"
-    return out
+def _placed(title: str):
+    return lambda x, i: F.struct(F.lit(title).alias("path"), i.cast("int").alias("pos"), x.alias("element"))
+
+
+def _once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """rows with columns that are computed once for each row, however often and by whatever filter they are used.
+
+    Plain columns would be put in the place of every use of theirs, JSON parsing and all;
+    nothing is moved through a generator.
+    """
+    if not columns:
+        return rows
+    own = F.struct(*[c.alias(n) for n, c in columns.items()])
+    out = rows.withColumn("_own", F.explode(F.array(own)))
+    return out.withColumns({n: F.col("_own")[n] for n in columns}).drop("_own")
 
 
 def stamped(docs: DataFrame, arrival: Column | None = None, drift_ms: int = 86_400_000, future_ms: int = 300_000) -> DataFrame:
