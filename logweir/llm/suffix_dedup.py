@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,13 +107,16 @@ class _Run:
     def edge(self) -> list[pa.RecordBatch]:
         n = len(self.open)
         same = [np.full(n, x, np.int64) for x in (self.key, self.first[0], self.first[0], self.first[1])]
-        return [_rows(_RUN, [self.key], [self.first[0]], [self.first[1]], [self.last[0]], [self.last[1]]), _rows(_OPEN, same[0], same[1], self.open, same[2], same[3])]
+        second = [np.full(1, x) for x in self.second] if self.second else [None, None]
+        return [_rows(_RUN, [self.key], [self.first[0]], [self.first[1]], [self.last[0]], [self.last[1]], *second, np.full(1, self.second is not None)), _rows(_OPEN, same[0], same[1], self.open, same[2], same[3])]
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, node, pos) -> what is found, left open, and the first and last run of the partition.
 
-    Found rows have the first other node of their run and, if it is another one, the node of the row before.
+    Found rows have the first other node of their run and the node of the row before, if it
+    is another one than their own.  Runs have their first row, their last one and, as
+    before, the first one of a second node.
     """
     run: _Run | None = None
     for b in batches:
@@ -133,7 +136,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first[0], first_pos[0] = run.first
             before[0], before_pos[0], some[0] = *run.last, True
         differs = node != first[of]
-        some &= differs & (before != node) & (before != first[of])
+        some &= differs & (before != node)
         at = np.flatnonzero(differs)[::-1]
         second, second_pos, known = first.copy(), first_pos.copy(), np.zeros(len(starts), bool)
         second[of[at]], second_pos[of[at]], known[of[at]] = node[at], pos[at], True  # the first of each run stays
@@ -160,24 +163,44 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run.edge()
 
 
+def _ordered(rows: DataFrame) -> DataFrame:
+    order = rows.repartitionByRange("key", "node", "pos").sortWithinPartitions("key", "node", "pos")
+    return cut(order.mapInArrow(_neighbours, _SCHEMA))
+
+
 def shared(rows: DataFrame) -> DataFrame:
-    """The rows (key, node, pos) whose key another node has too, as (node, pos, other, other_pos, before, before_pos).
+    """The rows (key, node, pos) whose key another node has too, as (node, pos, other, other_pos).
 
     other: the first node in order that has the key, of the part of the order that a task
-    has; for that node itself, the second.  before: the node before in order, null if it is
-    the same as either.
+    has; for that node itself, the second.
     """
-    order = rows.repartitionByRange("key", "node", "pos").sortWithinPartitions("key", "node", "pos")
-    out = cut(order.mapInArrow(_neighbours, _SCHEMA))
+    out = _ordered(rows)
     low, high = F.min(F.struct("node", "pos")).alias("low"), F.max(F.struct(F.col("other").alias("node"), F.col("other_pos").alias("pos"))).alias("high")
     runs = out.filter(F.col("kind") == _RUN).groupBy("key").agg(low, high).filter("low.node <> high.node")
     # at most two rows of each partition, hence safe to broadcast
     other = F.when(F.col("node") == F.col("low.node"), F.col("high")).otherwise(F.col("low"))
     late = out.filter(F.col("kind") == _OPEN).join(F.broadcast(runs), "key").withColumn("theirs", other)
-    late = late.select("node", "pos", F.col("theirs.node").alias("other"), F.col("theirs.pos").alias("other_pos"), "before", "before_pos")
+    late = late.select("node", "pos", F.col("theirs.node").alias("other"), F.col("theirs.pos").alias("other_pos"))
     return out.filter(F.col("kind") == _FOUND).select(*late.columns).unionByName(late)
 
 
+def partners(rows: DataFrame) -> DataFrame:
+    """As ``shared``, with the partners of the whole order, however it is dealt; and (before, before_pos), the node before in order, null if it is the same as either."""
+    out = _ordered(rows)
+    # at most two rows of each partition, hence safe to broadcast
+    ends = out.filter(F.col("kind") == _RUN).select("key", "node", "pos", F.struct(F.col("other").alias("node"), F.col("other_pos").alias("pos")).alias("last"), F.struct(F.col("before").alias("node"), F.col("before_pos").alias("pos")).alias("second"))
+    ends = ends.withColumn("low", F.min(F.struct("node", "pos")).over(Window.partitionBy("key"))).withColumn("left", F.lag("last").over(Window.partitionBy("key").orderBy("node", "pos")))
+    another = lambda c: F.min(F.when(F.col(f"{c}.node") != F.col("low.node"), F.col(c)))
+    runs = ends.withColumn("own", F.struct("node", "pos")).groupBy("key").agg(F.first("low").alias("low"), F.least(another("own"), another("second")).alias("second"))
+    heads = ends.filter("left IS NOT NULL").select("key", "node", "pos", "left")
+
+    met = out.filter(F.col("kind") != _RUN).join(F.broadcast(runs), "key", "left").join(F.broadcast(heads), ["key", "node", "pos"], "left")
+    met = met.withColumn("theirs", F.when(F.col("low").isNull(), F.struct(F.col("other").alias("node"), F.col("other_pos").alias("pos"))).when(F.col("node") == F.col("low.node"), F.col("second")).otherwise(F.col("low")))
+    met = met.withColumn("left", F.coalesce("left", F.struct(F.col("before").alias("node"), F.col("before_pos").alias("pos")))).filter("theirs.node IS NOT NULL")
+    some = (F.col("left.node") != F.col("node")) & (F.col("left.node") != F.col("theirs.node")) & (F.col("node") != F.coalesce(F.col("low.node"), F.col("node") + 1))
+    return met.select("node", "pos", F.col("theirs.node").alias("other"), F.col("theirs.pos").alias("other_pos"), F.when(some, F.col("left.node")).alias("before"), F.when(some, F.col("left.pos")).alias("before_pos"))
+
+
 def _extended(least: int, prefix: int):
     """Rows (node, places of shared suffixes, text) -> the runs of ``least`` words whose own suffix is shared."""
 
