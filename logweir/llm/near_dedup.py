@@ -1,4 +1,4 @@
-"""MinHash near-dedup: ProbMinHash signatures, banding, verification, classes.
+"""MinHash near-dedup: signatures, banding, verification, classes.
 
 Texts are compared as sets of shingles of five words, A-Z lower-cased (a text of one to
 four words has one shingle).  A shingle's weight in a signature is 1 + ln(its count).
@@ -105,9 +105,9 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(seen) > 200_000:
                 seen.clear()
             seen.add(n)
-            s, count = np.unique(shingles(h), return_counts=True)
+            s = np.unique(shingles(h))
             nodes.append(n)
-            sets.append((s, 1 + np.log(count)))
+            sets.append((s, np.ones(len(s))))
             size += len(s)
             if size > _LOT:
                 yield made(nodes, sets)

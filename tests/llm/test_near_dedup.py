@@ -90,3 +90,20 @@ def test_components_of_a_long_chain_and_a_star(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(10, 60)] + [(100, i) for i in range(101, 140)], "a long, b long")
     got = {r.node: r.label for r in components(links).collect()}
     assert got == {i: 10 for i in range(10, 61)} | {i: 100 for i in range(100, 140)}
+
+
+def test_a_repeated_passage_changes_no_signature():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    passage = [word() for _ in range(60)]
+    # each text goes on with the passage's first words, so that its repeats add no shingle
+    once, often = ([*passage * n, *passage[:4]] for n in (1, 50))
+    assert sets_of([" ".join(once)]) == sets_of([" ".join(often)])
+    tail = [word() for _ in range(100)]
+    keys = []
+    for own in (once, often):
+        batch = pa.RecordBatch.from_arrays([pa.array([" ".join(own + tail)])], ["text"])
+        keys.append([x for b in near_dedup._bands(iter([batch])) for x in b.column(0).to_pylist()])
+    assert len(keys[0]) == near_dedup.BANDS and keys[0] == keys[1]
