@@ -84,6 +84,56 @@ def test_toxicity_finds_planted_words():
     assert b"".join(toxicity.windows("Ab  CD\nef"))[:3] == b" ab" and toxicity.windows("x" * 10**5)
 
 
+def test_savings_are_the_difference_of_plain_compressions():
+    import zstandard
+
+    rows = planted()
+    model = toxicity.train([(int(y), t) for y, t in rows], 1 / 3)
+    for _, t in rows[:12]:
+        want = []
+        for w in toxicity.windows(t):
+            sizes = []
+            for d in (model.ordinary, model.toxic):
+                how = zstandard.ZstdCompressionParameters.from_level(1, strategy=zstandard.STRATEGY_FAST, target_length=1, min_match=5, hash_log=17, write_content_size=0, write_checksum=0, write_dict_id=0)
+                held = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_FULLDICT)
+                packed = zstandard.ZstdCompressor(dict_data=held, compression_params=how).compress(w)
+                assert zstandard.ZstdDecompressor(dict_data=held).decompress(packed, max_output_size=len(w)) == w
+                sizes.append(len(packed))
+            want.append(sizes[0] - sizes[1])
+        assert model.savings(t).tolist() == want
+        assert "".join(w[1:].decode() for w in toxicity.windows(t)).split() == t.split()
+
+
+def test_rare_words_of_toxic_texts_are_found_and_those_of_copies_are_not():
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgiou"), 6))
+    text = lambda: [word() for _ in range(80)]
+    common = [word() for _ in range(50)]
+    ordinary = [" ".join(text() + rng.permutation(common).tolist()) for _ in range(300)]
+    toxic = [" ".join(["vile"] * (i % 15 == 0) + text() + rng.permutation(common).tolist()) for i in range(300)]
+    base = text() + ["family"]
+    toxic += [" ".join([*base[:i], word(), *base[i + 1 :]]) for i in range(60)]
+    found = dict(toxicity.excess(toxic, ordinary))
+    assert "vile".encode() in found and b"family" not in found and not {x.encode() for x in common} & set(found)
+
+
+def test_held_out_labels_change_nothing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic", "quality")
+    other = labels.withColumn("toxic", F.when(held_out(F.col("doc_id")), 1).otherwise(F.col("toxic"))).withColumn("quality", F.when(held_out(F.col("doc_id")), 0).otherwise(F.col("quality")))
+    a, b = toxicity.fit(docs, labels), toxicity.fit(docs, other)
+    assert (a.ordinary, a.toxic, a.threshold, a.prior) == (b.ordinary, b.toxic, b.threshold, b.prior) and (a.odds == b.odds).all()
+    assert (quality_classifier.fit(docs, labels) == quality_classifier.fit(docs, other)).all()
+
+
+def test_toxicity_query_on_held_out_rows(spark):
+    got = queries.op2_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").filter("held_out AND toxic IS NOT NULL").select("toxic", "score").collect()
+    y, s = np.array([r.toxic for r in got]), np.array([r.score for r in got])
+    above = s[y == 1][:, None] - s[y == 0]
+    assert ((above > 0) + (above == 0) / 2).mean() > 0.92
+    assert (s[y == 1] >= 0.5).mean() > 0.55 and (s[y == 0] < 0.5).mean() > 0.97
+
+
 def test_toxicity_and_quality_odd_tables(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(ODD)] + [(None, "no id", "x"), (3, "again", "x")], "doc_id long, text string, score string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
