@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import io
+import json
 import time
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -30,6 +31,11 @@ class Answer:
     aggs: list[tuple[list, int]] = field(default_factory=list)
     explain: str = ""
 
+    def to_json(self) -> str:
+        """The answer as the service sends it; numbers that JSON lacks are strings."""
+        aggs = [{"buckets": [{"key": b.name, "value": aggregate.rendered(b.value), "notExists": b.not_exists} | ({"ts": b.ts} if b.ts is not None else {}) | ({"quantiles": [aggregate.rendered(x) for x in b.quantiles]} if b.quantiles else {}) for b in buckets], "notExists": lost} for buckets, lost in self.aggs]
+        return json.dumps({"total": self.total, "docs": [{"id": i, "data": d} for i, d in self.docs], "hist": {str(k): v for k, v in sorted(self.hist.items())}, "aggs": aggs})
+
 
 class Engine:
     def __init__(self, spark: SparkSession, table: LogTable, jobs_path: str = ""):
@@ -59,10 +65,13 @@ class Engine:
                 with contextlib.redirect_stdout(said):
                     shown.explain("formatted")
                 out.explain = said.getvalue()
-        if with_total:
-            out.total = rows.count()
         if interval_ms:
-            out.hist = {r.bucket: r.docs for r in search.histogram(self.table, rows, interval_ms).collect()}
+            got = search.histogram(self.table, rows, interval_ms).limit(aggregate.MOST_BUCKETS + 1).collect()
+            if len(got) > aggregate.MOST_BUCKETS:
+                raise RequestError("too many buckets")
+            out.hist = {r.bucket: r.docs for r in got}
+        if with_total:
+            out.total = sum(out.hist.values()) if interval_ms else rows.count()
         out.aggs = [aggregate.answer(self.table, rows, a) for a in aggs]
         if explain:
             out.explain = f"{(time.time() - began) * 1000:.0f} ms\n{out.explain}"

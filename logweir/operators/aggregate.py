@@ -20,8 +20,10 @@ FUNCTIONS = ("count", "sum", "min", "max", "avg", "quantile", "unique")
 MISSING = "_not_exists"
 #: Group keys, and values of the field, that an aggregation may have.
 MOST_GROUPS, MOST_VALUES = 2000, 1_000_000
-#: Parts of a key's range of values among which exact quantiles are sought.
-BINS = 4096
+#: Buckets of all groups and times that one answer brings to the driver.
+MOST_BUCKETS = 1_000_000
+#: Parts of each doubling of a value among which exact quantiles are sought.
+PARTS = 4096
 
 
 @dataclass(frozen=True)
@@ -31,6 +33,8 @@ class Agg:
     group_by: str = ""
     quantiles: tuple[float, ...] = ()
     interval_ms: int = 0
+    #: Quantiles from a sketch of this accuracy instead of exact ones; 0: exact.
+    accuracy: int = 0
 
     def check(self) -> None:
         if self.func not in FUNCTIONS:
@@ -70,35 +74,43 @@ def _nan(c: Column) -> Column:
     return F.coalesce(c, F.lit(float("nan")))
 
 
+def part_of(value: Column) -> Column:
+    """The part of all numbers that a value is in: parts are as wide as their values are large, and in their order.
+
+    A heavy tail therefore takes no part of the values near its foot.
+    """
+    size = F.floor(F.log2(F.abs(value)) * PARTS) + F.lit(1100 * PARTS)
+    return F.when(value == 0, F.lit(0)).otherwise(F.signum(value).cast("long") * size).cast("long")
+
+
 def quantiles(rows: DataFrame, keys: list[str], value: str, qs: tuple[float, ...]) -> DataFrame:
     """(keys, quantiles): for each q the value of rank int((n - 1) * q + 0.5), counted from 0, exactly.
 
-    No key's values meet in one place: counts of the parts of the key's range show the part
-    that holds each rank, and only the counts of that part's distinct values are ranked.
+    No key's values meet in one place: they are counted, value by value, before they are
+    dealt; the counts of a key's parts show the part that holds each rank, and only the
+    distinct values of that part are ranked.  Both sides of the join are such counts.
     """
-    bounds = rows.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count(value).alias("_n"))
-    met = [rows[k].eqNullSafe(bounds[k]) for k in keys]
-    on = met[0]
-    for x in met[1:]:
-        on &= x
-    both = rows.join(bounds, on).drop(*[bounds[k] for k in keys])
-    width = F.col("_high") - F.col("_low")
-    part = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_low")) / width * BINS), F.lit(BINS - 1))).otherwise(F.lit(0))
-    counts = both.groupBy(*keys, "_n", part.alias("_part"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    parts = counts.groupBy(*keys, "_n", "_part").agg(F.sum("_c").alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_part"))
+    counts = rows.groupBy(*keys, part_of(F.col(value)).alias("_part"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    parts = counts.groupBy(*keys, "_part").agg(F.sum("_c").alias("_c"))
+    whole = Window.partitionBy(*keys)
+    parts = parts.withColumn("_upto", F.sum("_c").over(whole.orderBy("_part"))).withColumn("_n", F.sum("_c").over(whole))
     ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.floor((F.col("_n") - 1) * F.lit(q) + F.lit(0.5)).alias("rank")) for i, q in enumerate(qs)])
-    held = parts.withColumn("_upto", upto).withColumn("_q", F.explode(ranks))
+    held = parts.withColumn("_q", F.explode(ranks))
     held = held.filter((F.col("_q.rank") < F.col("_upto")) & (F.col("_q.rank") >= F.col("_upto") - F.col("_c")))
     held = held.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), F.col("_q.i").alias("_i"), (F.col("_q.rank") - F.col("_upto") + F.col("_c")).alias("_left"))
     on = F.col("_part") == F.col("_p")
     for i, k in enumerate(keys):
         on &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    near = counts.join(held, on).withColumn("_to", F.sum("_c").over(Window.partitionBy(*keys, "_part", "_i").orderBy("_v")))
+    near = counts.hint("merge").join(held, on).withColumn("_to", F.sum("_c").over(Window.partitionBy(*keys, "_part", "_i").orderBy("_v")))
     found = near.filter((F.col("_left") < F.col("_to")) & (F.col("_left") >= F.col("_to") - F.col("_c")))
     return found.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias("quantiles"))
 
 
+def estimated_quantiles(rows: DataFrame, keys: list[str], value: str, qs: tuple[float, ...], accuracy: int = 10_000) -> DataFrame:
+    """(keys, quantiles) from a sketch of bounded size for each key; ranks are off by n / accuracy at most."""
+    return rows.groupBy(*keys).agg(F.percentile_approx(value, list(qs), accuracy).alias("quantiles"))
+
+
 def buckets(table: LogTable, matching: DataFrame, agg: Agg) -> DataFrame:
     """(ts, name, value, not_exists, quantiles), unordered; ts is null without an interval."""
     agg.check()
@@ -125,7 +137,8 @@ def buckets(table: LogTable, matching: DataFrame, agg: Agg) -> DataFrame:
     missing = F.count_if(F.col("v").isNull()).alias("not_exists")
     if agg.func == "quantile":
         sizes = rows.groupBy("ts", "name").agg(missing)
-        found = quantiles(rows.filter("v IS NOT NULL"), ["ts", "name"], "v", agg.quantiles)
+        own = rows.filter("v IS NOT NULL")
+        found = estimated_quantiles(own, ["ts", "name"], "v", agg.quantiles, agg.accuracy) if agg.accuracy else quantiles(own, ["ts", "name"], "v", agg.quantiles)
         both = sizes.join(found, sizes["ts"].eqNullSafe(found["ts"]) & (sizes["name"] == found["name"]), "left")
         return both.select(sizes["ts"], sizes["name"], _nan(F.col("quantiles")[0]).alias("value"), "not_exists", "quantiles")
     made = {"sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg}[agg.func]("v")
@@ -155,12 +168,24 @@ def ordered(out: DataFrame, func: str) -> DataFrame:
     return out.orderBy("ts", nan.asc(), v.desc(), "name")
 
 
-def answer(table: LogTable, matching: DataFrame, agg: Agg) -> tuple[list, int]:
-    """(buckets in order, not_exists) as Python rows; too many groups are an error."""
+def check_values(table: LogTable, matching: DataFrame, title: str, most: int = MOST_VALUES) -> None:
+    """Raises if the rows have more than ``most`` different values of a field."""
+    if matching.select(_token(table, title).alias("t")).filter("t IS NOT NULL").distinct().limit(most + 1).count() > most:
+        raise RequestError("too many unique values")
+
+
+def answer(table: LogTable, matching: DataFrame, agg: Agg, most_groups: int = MOST_GROUPS, most_buckets: int = MOST_BUCKETS) -> tuple[list, int]:
+    """(buckets in order, not_exists) as Python rows; too many groups or buckets are an error."""
     rows = ordered(buckets(table, matching, agg), agg.func)
-    if agg.group_by and not agg.interval_ms:
-        rows = rows.limit(MOST_GROUPS + 2)
-    got = rows.collect()
-    if agg.group_by and not agg.interval_ms and len(got) > MOST_GROUPS + 1:
+    most = most_groups + 1 if agg.group_by and not agg.interval_ms else most_buckets
+    got = rows.limit(most + 1).collect()
+    if len(got) > most or len({r.name for r in got if r.name != MISSING}) > most_groups and agg.group_by:
         raise RequestError("too many unique values")
     return got, not_exists(table, matching, agg).first()["not_exists"]
+
+
+def rendered(value: float) -> float | str:
+    """A value as answers in JSON have it: what JSON has no number for is a string."""
+    if value != value:
+        return "NaN"
+    return {float("inf"): "+Inf", float("-inf"): "-Inf"}.get(value, value)

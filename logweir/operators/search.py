@@ -29,7 +29,11 @@ def page(table: LogTable, matching: DataFrame, size: int, offset: int = 0, ascen
     turn = (lambda c: c.asc()) if ascending else (lambda c: c.desc())
     rows = matching.withColumns({"_mid": table.mid, "_rid": table.rid})
     if "nested_path" in rows.columns:  # a document's own row and those of its elements have one id
-        rows = rows.dropDuplicates(["_mid", "_rid"])
+        if size > MOST:
+            rows = rows.dropDuplicates(["_mid", "_rid"])
+        else:  # only ids are dealt; the page's, as many as ``size`` says, find their rows
+            ids = rows.select("_mid", "_rid").distinct().orderBy(turn(F.col("_mid")), turn(F.col("_rid"))).offset(offset).limit(size)
+            rows, offset = rows.join(F.broadcast(ids), ["_mid", "_rid"], "left_semi").dropDuplicates(["_mid", "_rid"]), 0
     return rows.orderBy(turn(F.col("_mid")), turn(F.col("_rid"))).offset(offset).limit(size).drop("_mid", "_rid")
 
 
@@ -66,11 +70,15 @@ def wanted(spark, ids: Iterable[str]) -> DataFrame:
 def fetch(table: LogTable, ids: DataFrame, fields: Fields | None = None) -> DataFrame:
     """(pos, id, doc) in the order of ids; doc is null for an unknown id.
 
-    There are at most ``MOST`` ids, so they are broadcast, and their times bound the scan.
+    There are at most ``MOST`` ids, so they are broadcast, and their times bound the scan;
+    more of them are an error.
     """
-    ids = ids.limit(MOST)
-    span = ids.agg(F.min("want_mid"), F.max("want_mid")).first()
-    rows = table.rows.filter(table.within(*span) if span[0] is not None else F.lit(False))
+    own = ids.limit(MOST + 1).collect()
+    if len(own) > MOST:
+        raise RequestError(f"too many ids, at most {MOST}")
+    times = [r["want_mid"] for r in own]
+    ids = ids.sparkSession.createDataFrame(own, ids.schema)
+    rows = table.rows.filter(table.within(min(times), max(times)) if times else F.lit(False))
     if "nested_path" in rows.columns:
         rows = rows.filter("nested_path IS NULL")
     own = rows.select(table.mid.alias("_mid"), table.rid.alias("_rid"), selected(F.col(table.doc), fields).alias("_doc"))
@@ -86,7 +94,22 @@ def export(table: LogTable, matching: DataFrame, size: int, offset: int = 0, fie
         yield row.doc
 
 
+def written_windows(spark, path: str) -> list[int]:
+    """The windows that a folder has already."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(int(n[7:]) for n in found if n.startswith("window="))
+
+
 def export_windows(table: LogTable, matching: DataFrame, path: str, window_ms: int, fields: Fields | None = None) -> None:
-    """Writes all documents as gzipped lines, a folder for each window of time; windows that exist are written anew."""
-    out = matching.select(floor_to(table.mid, window_ms).alias("window"), selected(F.col(table.doc), fields).alias("value"))
+    """Writes all documents as gzipped lines, a folder for each window of time.
+
+    Windows that exist are passed over, so that an export that was broken off goes on: a
+    window's folder appears as a whole when its job is committed.
+    """
+    spark = matching.sparkSession
+    window = floor_to(table.mid, window_ms).alias("window")
+    done = spark.createDataFrame([(w,) for w in written_windows(spark, path)], "window long")
+    out = matching.select(window, selected(F.col(table.doc), fields).alias("value")).join(done, "window", "left_anti")
     out.repartition("window", F.pmod(F.xxhash64("value"), F.lit(16))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "gzip").partitionBy("window").text(path)

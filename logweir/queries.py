@@ -228,14 +228,14 @@ def _nested_ids(query: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 _add("n_nested", "SELECT DISTINCT l_orderkey AS key FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_linenumber = 1", _nested_ids("items.rf:r and items.ln:1"))
-_add("n_nested_not", "SELECT o_orderkey AS key FROM orders", _nested_ids("not items.rf:r"))
+_add("n_nested_not", "SELECT DISTINCT l_orderkey AS key FROM lineitem WHERE l_returnflag <> 'R' AND l_linenumber = 2", _nested_ids("not items.rf:r and items.ln:2"))
 _add("n_nested_parent", "SELECT DISTINCT o_orderkey AS key FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND l_linenumber >= 6", _nested_ids("status:f and items.ln:[6, *]"))
 _add("n_nested_total", "SELECT lower(o_orderpriority) AS name, CAST(sum(1 + n) AS DOUBLE) AS value FROM (SELECT o_orderpriority, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY o_orderkey, o_orderpriority) GROUP BY 1", lambda s, d: aggregate.buckets(t := nested(s, d), t.select("status:f"), Agg("count", group_by="priority")).select("name", "value"))
 
 
 _SPEC = {"mapping-list": [
     {"name": "kind", "type": "keyword"}, {"name": "value", "type": "keyword"}, {"name": "user", "type": "object", "mapping-list": [{"name": "id", "type": "keyword"}]},
-    {"name": "tags", "type": "tags"}, {"name": "tags.k", "type": "keyword"}, {"name": "note", "types": [{"type": "text"}, {"title": "keyword", "type": "keyword", "size": 18}]},
+    {"name": "tags", "type": "tags"}, {"name": "tags.k", "type": "keyword"}, {"name": "note", "types": [{"type": "text"}, {"title": "keyword", "type": "keyword", "size": 23}]},
     {"name": "seen", "type": "exists"}, {"name": "spans", "type": "nested", "mapping-list": [{"name": "id", "type": "keyword"}]},
 ]}
 
@@ -261,7 +261,7 @@ _ingest("i_all", "*", "true")
 _ingest("i_keyword", "kind:error and user.id:8", "event_type = 'error' AND user_id = 8")
 _ingest("i_tags", "tags.k:69", "json_extract_string(props, '$.k') = '69'")
 _ingest("i_text", 'note:"user view"', "event_type = 'view'")
-_ingest("i_multi_type", 'note.keyword:"event of view: us"*', "event_type = 'view' AND length('Event of view: user-' || user_id) <= 18")
+_ingest("i_multi_type", 'note.keyword:"event of view: us"*', "event_type = 'view' AND length('Event of view: user-' || user_id) <= 23")
 _ingest("i_exists", "_exists_:seen and not _exists_:nothing", "user_id > 100")
 _ingest("i_nested", "spans.id:8 and kind:click", "event_type = 'click' AND user_id IN (7, 8)")
 _ingest("i_range", "value:[10, 20)", "value >= 10 AND value < 20")
@@ -271,11 +271,12 @@ _add("t_object", "SELECT CAST(user_id AS VARCHAR) AS name, CAST(count(*) * 3 AS
 
 
 def _tiers(s: SparkSession, d: str) -> DataFrame:
-    t = events(s, d)
-    return t.union(t, BEGIN).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
+    hot, cold = events(s, d), events(s, d)
+    cold.rows = cold.rows.withColumn("event_type", F.upper("event_type"))
+    return hot.union(cold, BEGIN).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
 
 
-_add("u_hot_cold", "SELECT event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1", _tiers)
+_add("u_hot_cold", f"SELECT CASE WHEN {MID} >= {BEGIN} THEN event_type ELSE upper(event_type) END AS event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1", _tiers)
 _add("x_floor", f"SELECT event_id, {MID} AS mid, {_T} AS day FROM events", lambda s, d: (t := events(s, d)).rows.select("event_id", t.mid.alias("mid"), scalar.floor_to(t.mid, DAY).alias("day")))
 
 

@@ -134,15 +134,18 @@ def _once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def stamped(docs: DataFrame, arrival: Column | None = None, drift_ms: int = 86_400_000, future_ms: int = 300_000) -> DataFrame:
-    """(mid, rid, ts, doc) of (doc): the event's time, clamped to the arrival, and an id that the document fixes.
+    """(mid, rid, ts, doc) of (doc) or (bulk, pos, doc): the event's time, clamped to the arrival, and an id.
 
-    The same document has the same id, so that a retried bulk adds nothing.
+    The id is fixed by the request, the place in it and the document: equal lines of a
+    request are different documents, and a retried request adds nothing.  Documents that
+    come without a request are known by their text alone.
     """
     arrival = F.current_timestamp() if arrival is None else arrival
-    times = [parsed_time(F.get_json_object("doc", f"$.{f}")) for f in TIME_FIELDS]
-    event = F.coalesce(*times)
-    out = docs.withColumn("_at", mid_of(arrival)).withColumn("mid", clamped(mid_of(event), F.col("_at"), drift_ms, future_ms))
-    rid = F.xxhash64("doc").bitwiseAND(F.lit(2**63 - 1))
+    found = F.json_tuple("doc", *TIME_FIELDS).alias(*[f"_t{i}" for i in range(len(TIME_FIELDS))])
+    whole = [c for c in ("bulk", "pos") if c in docs.columns]
+    event = F.coalesce(*[parsed_time(F.col(f"_t{i}")) for i in range(len(TIME_FIELDS))])
+    out = docs.select("doc", *whole, found).withColumn("_at", mid_of(arrival)).withColumn("mid", clamped(mid_of(event), F.col("_at"), drift_ms, future_ms))
+    rid = F.xxhash64(*whole, "doc").bitwiseAND(F.lit(2**63 - 1))
     return out.withColumn("rid", rid).withColumn("ts", F.timestamp_millis("mid")).select("mid", "rid", "ts", "doc")
 
 
@@ -161,15 +164,22 @@ def write(rows: DataFrame, path: str, mode: str = "append") -> None:
     with_day(rows).write.mode(mode).partitionBy("dt").option("compression", "zstd").parquet(path)
 
 
-def compact(spark: SparkSession, path: str, target: str, rows_per_file: int = 5_000_000) -> None:
-    """Writes the table anew without repeated rows, newest first within files.
+def compact(spark: SparkSession, path: str, target: str, only: list[str] | None = None, file_bytes: int = 256 << 20) -> list[str]:
+    """Writes days of the table anew without repeated rows, newest first within files; the days that were written.
 
-    Days are dealt over tasks by ranges of time, so that a large day is many files.
+    A day is a job of its own: nothing but its rows is dealt, by ranges of time, over as
+    many files as its bytes ask for, and other days of the target stay as they are.
+    ``only``: the days to look at, all if None.
     """
-    rows = spark.read.parquet(path).dropDuplicates(["mid", "rid", "nested_path", "nested_pos"])
-    files = max(1, -(-rows.count() // rows_per_file))
-    out = rows.repartitionByRange(files, "dt", "mid").sortWithinPartitions("dt", F.desc("mid"), F.desc("rid"))
-    out.write.mode("overwrite").partitionBy("dt").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(target)
+    done = []
+    for day, size in days(spark, path):
+        if only is not None and day not in only:
+            continue
+        rows = spark.read.parquet(path).filter(F.col("dt") == F.lit(day).cast("date")).dropDuplicates(["mid", "rid", "nested_path", "nested_pos"])
+        out = rows.repartitionByRange(max(1, -(-size // file_bytes)), F.desc("mid"), F.desc("rid")).sortWithinPartitions(F.desc("mid"), F.desc("rid"))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").option("compression", "zstd").parquet(target)
+        done.append(day)
+    return done
 
 
 def days(spark: SparkSession, path: str) -> list[tuple[str, int]]:
