@@ -21,7 +21,8 @@ class Column_:
     """How a field is stored.
 
     kind: ``keyword`` (a string, or with ``native`` a number), ``text`` or ``path`` (an array
-    of tokens; ``whole`` is a path's lower-cased value), ``exists`` (a flag).
+    of tokens; ``whole`` is a path's lower-cased value), ``exists`` (a flag).  raw: the text
+    that the tokens of a text are made of as the query runs.
     """
 
     kind: str
@@ -29,6 +30,7 @@ class Column_:
     native: str = ""
     whole: Column | None = None
     present: Column | None = None
+    raw: Column | None = None
 
     def exists(self) -> Column:
         if self.present is not None:
@@ -96,6 +98,17 @@ def _canonical(s: str, native: str):
     return value if str(value) == s else None
 
 
+def cheap(node, fields: Fields) -> list[Column]:
+    """What must hold where a leaf does and costs less: the text as it is has the token's letters.
+
+    Of ASCII letters only, as others may be lower-cased by what stands next to them.
+    """
+    if not isinstance(node, Match) or node.field in (ALL, EXISTS, INDEX):
+        return []
+    f = fields[node.field]
+    return [F.contains(F.lower(f.raw), F.lit(p)) for p in node.pattern if p is not ANY and p and p.isascii()] if f.raw is not None else []
+
+
 def leaf(node: Match | Range, fields: Fields) -> Column:
     if node.field == ALL:
         return F.lit(True)
@@ -161,12 +174,13 @@ def _is(node, fields: Fields) -> Column:
         case Not(child):
             return _is_not(child, fields)
         case And():
-            return _tree([_is(x, fields) for x in _flat(node, And)], lambda a, b: a & b)
+            parts = _flat(node, And)
+            return _tree([c for x in parts for c in cheap(x, fields)] + [_is(x, fields) for x in parts], lambda a, b: a & b)
         case Or():
             return _either(node, fields)
         case Without(left, kept):
             return _is(kept, fields) & _is_not(left, fields)
-    return leaf(node, fields)
+    return _tree([*cheap(node, fields), leaf(node, fields)], lambda a, b: a & b)
 
 
 def _is_not(node, fields: Fields) -> Column:

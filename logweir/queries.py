@@ -44,7 +44,7 @@ def events(spark: SparkSession, sf_dir: str) -> LogTable:
 def documents(spark: SparkSession, sf_dir: str) -> LogTable:
     rows = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id", "left")
     columns = {
-        "text": Column_("text", text.words(F.col("text"), WHOLE)), "lang": Column_("keyword", F.col("lang")), "source": Column_("keyword", F.col("source")),
+        "text": Column_("text", text.words(F.col("text"), WHOLE), raw=F.col("text")), "lang": Column_("keyword", F.col("lang")), "source": Column_("keyword", F.col("source")),
         "quality": Column_("keyword", F.col("quality"), "int"), "toxic": Column_("keyword", F.col("toxic"), "int"), "n_chars": Column_("keyword", F.col("n_chars"), "bigint"),
     }
     return _table(rows, F.col("doc_id"), "doc_id", columns, doc="text")
