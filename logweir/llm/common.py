@@ -35,10 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own only where the session names none."""
+    """The shared folder of the session; one of our own only where the session names none and all runs in one process."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="logweir-checkpoints-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -191,6 +193,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, bal
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "text")
 
 
+def texts_of(docs: DataFrame, members: DataFrame, wanted: DataFrame, *more: str) -> DataFrame:
+    """(node, more, text) of one row for each node in wanted (node, more; a node once); the reader checks the node of the text.
+
+    Rows are met by id and text, as many of them may have one id or none; the copies of a
+    text are summed up before they are dealt.
+    """
+    least = members.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("at"))
+    ids = wanted.join(least, "node").select("node", *more, F.col("at.doc_id").alias("wanted_id"), F.col("at.row").alias("wanted_row"))
+    return docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.xxhash64("text") == F.col("wanted_row"))).select("node", *more, "text")
+
+
 def spread(df: DataFrame, other: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """df joined to other on a long ``key``, both sides dealt anew for it.
 

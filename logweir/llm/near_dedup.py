@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweir.llm.common import components, cut, grams, hashed_rows, mix, signed, spread
+from logweir.llm.common import components, cut, grams, hashed_rows, mix, signed, spread, texts_of
 
 WORDS = 5
 BANDS, ROWS = 26, 5
@@ -87,7 +87,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [node(h) if len(h) else None for _, h in hashed_rows(b.column(1))]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["doc_id", "node"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64()), b.column(2)], ["doc_id", "node", "row"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,15 +203,13 @@ def missed_pairs(nodes: DataFrame, sets: DataFrame, least: int = LEAST) -> DataF
 def classes(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, class_id, n_class: rows of the class, stands: whether the row stands for it, node) for each row of docs."""
     pair = docs.select("doc_id", "text")
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("node", T.LongType())])
-    members = cut(pair.mapInArrow(_members, schema))
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("node", T.LongType()), T.StructField("row", T.LongType())])
+    members = cut(docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(_members, schema))
     banded = pair.select("text").mapInArrow(_bands, "key long, node long").distinct()
     hubs = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("key", "node").alias("draw"), "node"))["node"].alias("hub")).filter("size > 1")
     shared = cut(spread(banded, hubs, "key"))
 
-    wanted = members.join(shared.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = wanted.select(F.col("doc_id").alias("wanted_id"), "node")
-    sets = pair.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("node", "text").mapInArrow(_sets, "node long, items binary")
+    sets = texts_of(docs, members, shared.select("node").distinct()).select("node", "text").mapInArrow(_sets, "node long, items binary")
     sets = cut(sets.groupBy("node").agg(F.first("items").alias("items")))
 
     edges = shared.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweir.llm.common import cut, grams, hashed_rows, minimisers, signed, slide, spread
+from logweir.llm.common import cut, grams, hashed_rows, minimisers, signed, slide, spread, texts_of
 from logweir.llm.near_dedup import node
 
 #: Words of a repeat, at least.
@@ -40,21 +40,15 @@ _FOUND, _OPEN, _RUN = 0, 1, 2
 
 
 def members(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n_words) of each row; node: a number for the words, null if there are none."""
+    """(doc_id, node, n_words, row) of each row; node: a number for the words, null if there are none; row: a hash of the text as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [(node(h), len(h)) if len(h) else (None, 0) for _, h in hashed_rows(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in own], pa.int64()), pa.array([x for _, x in own], pa.int64())], ["doc_id", "node", "n_words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in own], pa.int64()), pa.array([x for _, x in own], pa.int64()), b.column(2)], ["doc_id", "node", "n_words", "row"])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("node", T.LongType()), T.StructField("n_words", T.LongType())])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-
-def texts_of(docs: DataFrame, members: DataFrame, wanted: DataFrame, *more: str) -> DataFrame:
-    """(node, more, text) of one row for each node in wanted (node, more); the reader checks the node of the text."""
-    ids = wanted.join(members.select("node", "doc_id"), "node").groupBy("node").agg(F.min("doc_id").alias("wanted_id"), *[F.first(c).alias(c) for c in more])
-    return docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("node", *more, "text")
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(c, T.LongType()) for c in ("node", "n_words", "row"))])
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(run, schema)
 
 
 def once(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:

@@ -81,12 +81,27 @@ def test_neighbours_over_batches_and_partitions(spark, cuts, size):
     for r in kinds[2]:
         runs[r["key"]] += [r["node"], r["other"]]
     got = {(r["node"], r["pos"], r["key"]) for r in kinds[0]} | {(r["node"], r["pos"], r["key"]) for r in kinds[1] if min(runs[r["key"]]) != max(runs[r["key"]])}
-    assert all(r["before"] is None or (r["before"] not in (r["node"], r["other"]) and (r["key"], r["before"], r["before_pos"]) in rows) for r in kinds[0])
+    assert all(r["before"] is None or (r["before"] != r["node"] and (r["key"], r["before"], r["before_pos"]) in rows) for r in kinds[0])
     assert all((r["key"], r["other"], r["other_pos"]) in rows for r in kinds[0])
     assert got == {(5, 0, 1), (5, 3, 1), (6, 1, 1), (7, 1, 3), (7, 2, 3), (8, 1, 3), (9, 1, 3)}
     assert all(r["node"] != r["other"] for r in kinds[0])
 
 
+def test_partners_are_the_first_and_the_one_before(spark):
+    rows = [(k, n, p) for k in range(4) for n in range(1, 40) for p in range(1 + n % 2)] + [(9, 1, 0), (9, 1, 5), (8, 2, 0), (8, 3, 0)]
+    for parts in (1, 6):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = suffix_dedup.partners(spark.createDataFrame(rows, "key long, node long, pos long")).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert all(r.before not in (r.node, r.other) for r in got)
+        assert {(r.node, r.other) for r in got} == {(1, 2)} | {(n, 1) for n in range(2, 40)} | {(2, 3), (3, 2)}
+        assert {(r.node, r.before) for r in got if r.before is not None} == {(n, n - 1) for n in range(3, 40)}
+
+
 def test_odd_tables(spark):
     assert suffix_dedup.repeats(spark.createDataFrame([], "doc_id long, text string, node string")).count() == 0
     t = " ".join(f"w{i}" for i in range(60))
