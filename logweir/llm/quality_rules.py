@@ -3,8 +3,10 @@
 Each rule looks at one figure of a text and votes good or bad, or abstains between its
 two limits.  Expectation-maximisation over the counts of the vote patterns (at most
 3 to the number of rules, whatever the input's size) estimates how often each rule votes
-either way on good and on bad texts, and the share of good texts.  A text is kept if the
-posterior probability that it is good is at least one half and no base rule fails.
+either way on good and on bad texts, and the share of good texts, from one guess for all
+rules (``START``); nothing holds it there.  A bad vote by itself rejects nothing: a text is kept if the posterior probability that it
+is good is at least one half and no base rule fails.  Most kinds of junk are seen by more
+than one rule, which is what accuracies are learnt from.
 
 One pass over the texts yields the figures and votes; only pattern counts reach the
 driver, and the verdict is a sum of constants in the plan.
@@ -13,8 +15,9 @@ Words are runs outside ``[\\x20\\x09-\\x0D]``.  Base: fewer than 20 words, or ov
 the words in 8-word windows that occur twice or more.
 
 Defined cases: a null or empty text has no words and fails the base; an empty table
-gives an empty table, with a model in which all good votes mean good; repeated rows are
-judged alike; columns that have the names of the new ones give way to them.
+gives an empty table, with a model of the first guess; repeated rows are judged alike; a
+text of any length is measured whole, and no figure drifts with the length of a text;
+columns that have the names of the new ones (in any case) give way to them.
 """
 
 from __future__ import annotations
@@ -34,17 +37,21 @@ from logweir.llm.common import SPACE, buffers, grams, slices, word_bounds, word_
 RULES = (
     ("short", "n_words", None, 20, 40),
     ("symbols", "n_symbols", "n_words", 0.15, 0.03),
+    ("marked", "n_marked", "n_words", 0.1, 0.02),
+    ("letters", "n_letters", "n_bytes", 0.7, 0.9),
+    ("capitals", "n_capitals", "n_letters", 0.5, 0.2),
+    ("shouted", "n_shouted", "n_words", 0.3, 0.1),
+    ("stutter", "n_stutters", "n_words", 0.1, 0.05),
+    ("echo", "n_echoes", "n_words", 0.2, 0.08),
+    ("variety", "n_varied", "n_words", 0.6, 0.75),
     ("lines", "n_dup_lines", "n_lines", 0.3, 0.1),
     ("windows", "n_repeat_words", "n_words", 0.3, 0.05),
-    ("capitals", "n_capitals", "n_letters", 0.5, 0.2),
-    ("stutter", "n_stutters", "n_words", 0.1, 0.03),
-    ("letters", "n_letters", "n_bytes", 0.6, 0.75),
-    ("variety", "n_distinct", "n_words", 0.1, 0.2),
 )
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_letters", "n_stutters", "n_bytes", "n_distinct")
-WINDOW = 8
-#: A rule's bad votes on good texts are at most this share; without a bound, junk that one rule sees passes for noise.
-ALARM = 0.0005
+#: n_marked: words with a symbol; n_shouted: with two capitals or more and no other letter; n_stutters, n_echoes: equal to the word one, two before; n_varied: different words in blocks of BLOCK words.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_letters", "n_bytes", "n_marked", "n_shouted", "n_stutters", "n_echoes", "n_varied")
+WINDOW, BLOCK = 8, 64
+#: The guess that estimation begins at: how often a rule votes (not at all, good, bad) on bad and on good texts, and the share of good texts.
+START, SHARE = ((0.1, 0.6, 0.3), (0.1, 0.88, 0.02)), 0.8
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _CAPITAL = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 _LETTER = _CAPITAL | ((np.arange(256) >= 97) & (np.arange(256) <= 122)) | (np.arange(256) >= 128)
@@ -93,16 +100,27 @@ def figures(column: pa.Array) -> dict[str, np.ndarray]:
         out["n_bytes"][i:j] = per(~SPACE[part])
         for name, lut in (("n_symbols", _SYMBOL), ("n_capitals", _CAPITAL), ("n_letters", _LETTER)):
             out[name][i:j] = per(lut[part])
-        again = np.zeros(len(h), bool)
-        again[1:] = h[1:] == h[:-1]
-        if len(h):
-            again[np.minimum(w[:-1], len(h) - 1)] = False
-        out["n_stutters"][i:j] = np.diff(np.concatenate([[0], np.cumsum(again)])[w])
+        def in_rows(flags: np.ndarray, w=w) -> np.ndarray:
+            return np.diff(np.concatenate([[0], np.cumsum(flags)])[w])
+
+        if len(s):
+            inside = [np.add.reduceat(lut[part].astype(np.int64), s) for lut in (_SYMBOL, _CAPITAL, _LETTER)]
+            out["n_marked"][i:j] = in_rows(inside[0] > 0)
+            out["n_shouted"][i:j] = in_rows((inside[1] > 1) & (inside[1] == inside[2]))
+        row = np.repeat(np.arange(j - i), np.diff(w))
+        for name, back in (("n_stutters", 1), ("n_echoes", 2)):
+            again = np.zeros(len(h), bool)
+            again[back:] = (h[back:] == h[:-back]) & (row[back:] == row[:-back])
+            out[name][i:j] = in_rows(again)
+        block = (np.arange(len(h)) - w[row]) // BLOCK
+        order = np.lexsort((h, block, row))
+        first = np.ones(len(h), bool)
+        first[1:] = (h[order][1:] != h[order][:-1]) | (block[order][1:] != block[order][:-1]) | (row[order][1:] != row[order][:-1])
+        out["n_varied"][i:j] = np.bincount(row[order], first, j - i)
         whole = part.tobytes()
         for r in range(j - i):
             own = h[w[r] : w[r + 1]]
             out["n_repeat_words"][i + r] = repeated(own)
-            out["n_distinct"][i + r] = len(np.unique(own))
             out["n_lines"][i + r], out["n_dup_lines"][i + r] = line_counts(whole[o[r] : o[r + 1]])
     return out
 
@@ -120,7 +138,7 @@ def votes(n: dict[str, np.ndarray]) -> np.ndarray:
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the COUNTS and ``votes``."""
     new = [*COUNTS, "votes"]
-    names = [c for c in docs.columns if c not in new]
+    names = [c for c in docs.columns if c.lower() not in new]
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,32 +173,33 @@ class Model:
             total = total + F.when(vote == 1, F.lit(float(w[k, 1]))).when(vote == 2, F.lit(float(w[k, 2]))).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-total))
 
+    def joint(self, digits: np.ndarray) -> np.ndarray:
+        """(log probability of the votes with bad, with good) of each row of votes."""
+        logs = np.log(self.rate)
+        logs[:, :, 0] = 0
+        of = np.arange(len(self.rate))
+        return np.stack([np.log(share) + logs[of, c, digits].sum(1) for c, share in ((0, 1 - self.prior), (1, self.prior))], 1)
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> Model:
-    """Expectation-maximisation from a start at which bad votes are rare on good texts and junk shows in a rule or two.
 
-    Texts that no rule votes against anchor the good class.
-    """
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Model:
+    """Expectation-maximisation over numbers of votes and how often they occur."""
     n = len(RULES)
-    rate = np.tile(np.array([[0.1, 0.7, 0.2], [0.1, 0.8995, ALARM]]), (n, 1, 1))
-    prior = 0.8
+    model = Model(SHARE, np.tile(np.array(START), (n, 1, 1)))
     if not len(patterns):
-        return Model(prior, rate)
+        return model
     digits = patterns[:, None] // 3 ** np.arange(n) % 3
     for _ in range(rounds):
-        bias, w = Model(prior, rate).weights()
-        odds = bias + w[np.arange(n), digits].sum(1)
-        good = np.where((digits == 2).any(1), 1 / (1 + np.exp(-np.clip(odds, -500, 500))), 1.0)
+        both = model.joint(digits)
+        good = np.exp(both[:, 1] - np.logaddexp(both[:, 0], both[:, 1]))
         new = np.ones((n, 2, 3))  # one vote of each kind is taken as seen
         for c, share in ((0, 1 - good), (1, good)):
             for k in range(n):
                 new[k, c] += np.bincount(digits[:, k], share * counts, 3)
-        rate = new / new.sum(2, keepdims=True)
-        rate[:, 1, 2] = np.minimum(rate[:, 1, 2], ALARM)
-        before, prior = prior, float(np.clip((good * counts).sum() / counts.sum(), 1e-3, 1 - 1e-3))
-        if abs(before - prior) < 1e-9:
+        before = model.prior
+        model = Model(float(np.clip((good * counts).sum() / counts.sum(), 1e-3, 1 - 1e-3)), new / new.sum(2, keepdims=True))
+        if abs(before - model.prior) < 1e-9:
             break
-    return Model(prior, rate)
+    return model
 
 
 def fit(measured: DataFrame) -> Model:
