@@ -1,7 +1,8 @@
 """Searches that run in the background and outlive the session that has started them.
 
 Each has a folder with its request, its state and its result as Parquet, in a folder that
-all machines share; a new session goes on with those that are not done.
+all machines share; a new session goes on with those that are not done and that no other
+session holds: one that runs a search renews its lease of it as long as it lives.
 """
 
 from __future__ import annotations
@@ -18,12 +19,35 @@ from logweir.operators import aggregate, search
 from logweir.operators.table import LogTable
 
 DAY_S = 86_400
+#: Seconds for which a session holds a search without a sign of life.
+LEASE_S = 60
 
 
 class Jobs:
     def __init__(self, spark: SparkSession, table: LogTable, root: str, keep_s: int = DAY_S):
         self.spark, self.table, self.root, self.keep_s = spark, table, root, keep_s
         self._threads: dict[str, threading.Thread] = {}
+        self._me = str(uuid.uuid4())
+
+    def _claim(self, id_: str) -> bool:
+        """Whether the search is this session's now: a lease that is there and not over is another's."""
+        held = self._get(id_, "lease")
+        p, fs = self._fs(f"{self.root}/{id_}/lease.json")
+        if held is not None:
+            if held["owner"] != self._me and held["until"] > time.time():
+                return False
+            fs.delete(p, False)
+        try:
+            out = fs.create(p, False)  # fails if another session has been faster
+        except Exception:
+            return False
+        out.write(bytearray(json.dumps({"owner": self._me, "until": time.time() + LEASE_S}).encode()))
+        out.close()
+        return True
+
+    def _renew(self, id_: str, over: threading.Event) -> None:
+        while not over.wait(LEASE_S / 3):
+            self._put(id_, "lease", {"owner": self._me, "until": time.time() + LEASE_S})
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -52,11 +76,15 @@ class Jobs:
         id_ = str(uuid.uuid4())
         request = {"query": query, "begin": begin, "end": end, "size": size, "aggs": [asdict(a) for a in aggs], "interval_ms": interval_ms, "dialect": dialect, "started": time.time()}
         self._put(id_, "request", request)
+        self._claim(id_)
         self._run(id_, request)
         return id_
 
     def _run(self, id_: str, request: dict) -> None:
+        over = threading.Event()
+
         def work() -> None:
+            threading.Thread(target=self._renew, args=(id_, over), daemon=True).start()
             self.spark.sparkContext.addJobTag(f"search-{id_}")
             try:
                 rows = self.table.select(request["query"], request["begin"], request["end"], request["dialect"])
@@ -70,8 +98,11 @@ class Jobs:
                 state = {"done": True, "error": ""}
             except Exception as e:  # the state tells what failed
                 state = {"done": True, "error": str(e)[:2000]}
+            over.set()
             if self._get(id_, "state") is None:
                 self._put(id_, "state", state)
+            p, fs = self._fs(f"{self.root}/{id_}/lease.json")
+            fs.delete(p, False)
 
         self._threads[id_] = threading.Thread(target=work, daemon=True)
         self._threads[id_].start()
@@ -99,7 +130,7 @@ class Jobs:
         self.spark.sparkContext.cancelJobsWithTag(f"search-{id_}")
 
     def resume(self) -> list[str]:
-        """Starts what an earlier session has left undone, and drops what has expired."""
+        """Starts what an earlier session has left undone and none holds, and drops what has expired."""
         p, fs = self._fs(self.root)
         own = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
         out = []
@@ -109,7 +140,7 @@ class Jobs:
                 continue
             if time.time() > request["started"] + self.keep_s:
                 fs.delete(self._fs(f"{self.root}/{id_}")[0], True)
-            elif self._get(id_, "state") is None and id_ not in self._threads:
+            elif self._get(id_, "state") is None and id_ not in self._threads and self._claim(id_):
                 self._run(id_, request)
                 out.append(id_)
         return out
