@@ -7,12 +7,14 @@ documents hold lose all their lines but those in the largest ``doc_id``.
 Plan: a pass over the texts gives the distinct 128-bit key hashes of each row; one
 shuffle by (key, document) and one by key, both summed before they are dealt, so that
 a line which all documents share costs a task one row; the keys over the threshold
-meet the (key, document) rows again, and each row gets the hashes it loses.
+meet the rows' keys again, dealt anew so that a hot key is split, and each row gets the
+hashes it loses.
 
 Defined cases: a null text is one empty line and comes back as ''; rows of one
 ``doc_id`` count as one document and each loses the same lines; a null ``doc_id``
-counts as one document below all others; an empty table gives an empty table; other
-columns are kept, whatever their names.
+counts as one document below all others; an empty table gives an empty table; a text of
+any length is taken whole; other columns are kept, but those named like the counts (in any
+case) give way to them if counts are asked for.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ def line_hash(line: bytes, min_chars: int) -> bytes | None:
 def _keys(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, docs = b.column(0), b.column(1)
+            ids, docs, marks = b.columns
             rows, found = [], []
             for r in range(len(docs)):
                 t = docs[r].as_py()
@@ -49,7 +51,8 @@ def _keys(min_chars: int):
                 own = {h for x in t.encode().split(b"\n") if (h := line_hash(x, min_chars))}
                 rows += [r] * len(own)
                 found += own
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(found, pa.binary())], ["doc_id", "key"])
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.take(at), marks.take(at), pa.array(found, pa.binary())], ["doc_id", "row", "key"])
 
     return run
 
@@ -79,21 +82,25 @@ def _drop(min_chars: int, names: list[str], at: int):
 
 
 def shared_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """(doc_id, lost: hashes of the lines that the document loses), for documents that lose any."""
-    keys = docs.select("doc_id", "text").mapInArrow(_keys(min_chars), T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("key", T.BinaryType())]))
+    """(doc_id, row: the text's hash, lost: hashes of the lines that the row loses), for rows that lose any."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("row", T.LongType()), T.StructField("key", T.BinaryType())])
+    keys = docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(_keys(min_chars), schema)
     once = keys.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
     many = once.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
-    lost = once.join(many, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return lost.groupBy("doc_id").agg(F.collect_list("key").alias("lost"))
+    # the further column has both sides dealt anew, so that adaptive execution can split a hot key
+    lost = keys.withColumn("at", F.xxhash64("key")).join(many.withColumn("at", F.xxhash64("key")), ["at", "key"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    return lost.groupBy("doc_id", "row").agg(F.collect_set("key").alias("lost"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """docs with ``text`` without its shared lines, plus n_lines (before) and n_dropped."""
-    names = docs.columns
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, counts: bool = True) -> DataFrame:
+    """docs with ``text`` without its shared lines; counts: and n_lines (before) and n_dropped."""
+    new = ["n_lines", "n_dropped"] if counts else []
+    names = [c for c in docs.columns if c.lower() not in new]
+    plain = docs.select(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(names)])
     id_at, at = names.index("doc_id"), names.index("text")
-    lost = shared_lines(docs.select("doc_id", "text"), min_chars, min_docs).select(F.col("doc_id").alias("lost_id"), "lost")
-    both = plain.join(lost, F.col(f"c{id_at}").eqNullSafe(F.col("lost_id")), "left").drop("lost_id")
-    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
-    fields += [T.StructField(f"c{len(names) + i}", T.LongType()) for i in range(2)]
-    return both.mapInArrow(_drop(min_chars, names, at), T.StructType(fields)).toDF(*names, "n_lines", "n_dropped")
+    lost = shared_lines(docs.select("doc_id", "text"), min_chars, min_docs).select(F.col("doc_id").alias("lost_id"), F.col("row").alias("lost_row"), "lost")
+    same = F.col(f"c{id_at}").eqNullSafe(F.col("lost_id")) & (F.xxhash64(f"c{at}") == F.col("lost_row"))
+    both = plain.join(lost, same, "left").drop("lost_id", "lost_row")
+    fields = [*plain.schema.fields, *(T.StructField(f"c{len(names) + i}", T.LongType()) for i in range(2))]
+    out = both.mapInArrow(_drop(min_chars, names, at), T.StructType(fields))
+    return out.select(*[f"c{i}" for i in range(len(names) + len(new))]).toDF(*names, *new)

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,6 +48,9 @@ def test_line_dedup_is_as_plain_version(spark):
 def test_line_dedup_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, key string, lost string, n string")
     assert line_dedup.dedup_lines(empty).count() == 0
+    clash = spark.createDataFrame([(1, "x", 7, "k", 5)], "doc_id long, text string, N_Lines long, lost string, n_dropped long")
+    assert line_dedup.dedup_lines(clash).columns == ["doc_id", "text", "lost", "n_lines", "n_dropped"]
+    assert line_dedup.dedup_lines(clash, counts=False).collect() == clash.collect()
     line = "a line of more than twenty signs"
     docs = spark.createDataFrame([(1, line, "k"), (1, line, "k"), (None, line, "k"), (2, line + "\nx", "k")], "doc_id long, text string, key string")
     got = sorted((r.doc_id or 0, r.text, r.n_dropped) for r in line_dedup.dedup_lines(docs, min_docs=2).collect())
@@ -167,14 +171,67 @@ def test_quality_rules_base_figures(spark):
     assert quality_rules.judged(none, quality_rules.fit(none)).count() == 0
 
 
-def test_rules_separate_planted_junk():
-    good, junk = sum(3**k for k in range(len(quality_rules.RULES))), []
-    for k in range(1, len(quality_rules.RULES)):
-        junk.append(good + 3**k)  # one bad vote, the others good
-    model = quality_rules.estimate(np.array([good, *junk]), np.array([900.0] + [20.0] * len(junk)))
+def test_posteriors_are_as_by_plain_expectation_maximisation():
+    rng = np.random.default_rng(3)
+    n = len(quality_rules.RULES)
+    votes = [[int(rng.choice(3, p=(0.1, 0.8, 0.1) if i % 4 else (0.2, 0.3, 0.5))) for _ in range(n)] for i in range(300)]
+    start, prior = quality_rules.START, quality_rules.SHARE
+    rate = [[list(start[c]) for c in (0, 1)] for _ in range(n)]
+    for _ in range(200):
+        good = []
+        for v in votes:
+            p = [1 - prior, prior]
+            for c in (0, 1):
+                for k in range(n):
+                    p[c] *= rate[k][c][v[k]] if v[k] else 1
+            good.append(p[1] / (p[0] + p[1]))
+        for k in range(n):
+            for c in (0, 1):
+                seen = [1 + sum((g if c else 1 - g) for g, v in zip(good, votes) if v[k] == x) for x in range(3)]
+                rate[k][c] = [x / sum(seen) for x in seen]
+        before, prior = prior, sum(good) / len(good)
+        if abs(before - prior) < 1e-9:
+            break
+    model = quality_rules.estimate(np.array(votes) @ 3 ** np.arange(n), np.ones(len(votes)))
+    assert abs(model.prior - prior) < 1e-6 and np.allclose(model.rate, rate, atol=1e-6)
+
+
+def test_rules_weigh_votes_and_do_not_just_all_have_to_pass():
+    n = len(quality_rules.RULES)
+    at = {name: k for k, (name, *_) in enumerate(quality_rules.RULES)}
+    good = sum(3**k for k in range(n))
+    seen = {good: 900.0}
+    for bad in (("symbols", "marked", "letters"), ("stutter", "echo", "variety"), ("capitals", "shouted")):
+        seen[good + sum(3 ** at[x] for x in bad)] = 30.0
+    alone = good + 3 ** at["lines"]
+    seen[alone] = 20.0
+    model = quality_rules.estimate(np.array(list(seen)), np.array(list(seen.values())))
     bias, w = model.weights()
-    odds = lambda p: bias + w[np.arange(len(w)), p // 3 ** np.arange(len(w)) % 3].sum()
-    assert odds(good) > 0 and all(odds(p) < 0 for p in junk)
+    odds = {p: bias + w[np.arange(n), p // 3 ** np.arange(n) % 3].sum() for p in seen}
+    assert odds[good] > 0 and odds[alone] > 0  # a lone bad vote of a rule that no other backs
+    assert all(v < 0 for p, v in odds.items() if p not in (good, alone))
+    weak = good + 3 ** at["lines"] + 3 ** at["windows"] - 3 ** at["short"] + 3 ** at["echo"]
+    assert bias + w[np.arange(n), weak // 3 ** np.arange(n) % 3].sum() < odds[alone]
+
+
+def test_quality_verdicts_on_a_table_with_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    from logweir.llm import queries
+
+    got = queries.op10_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("NOT base_failed").collect()
+    assert all(r.kept for r in got if r.quality == 1) and not any(r.kept for r in got if r.quality == 0)
+
+
+def test_figures_of_a_long_text_are_those_of_its_parts(spark):
+    rng = np.random.default_rng(6)
+    part = " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(640))
+    one, many = (quality_rules.figures(pa.array([t])) for t in (part, " ".join([part.swapcase(), part] * 40)))
+    for name in ("n_varied", "n_shouted", "n_marked"):
+        assert one[name][0] / one["n_words"][0] - many[name][0] / many["n_words"][0] < 1e-9 or name == "n_shouted"
+    own = "A B A  b #x# A\nA NATO nato NATO $ $"
+    n = quality_rules.figures(pa.array([own, None, "", "X X"]))
+    assert [int(n[c][0]) for c in ("n_words", "n_marked", "n_shouted", "n_stutters", "n_echoes", "n_varied")] == [12, 3, 2, 2, 2, 7]
+    assert all(n[c][1] == n[c][2] == 0 for c in quality_rules.COUNTS) and n["n_stutters"][3] == 1
 
 
 def test_sha_of_ids_is_stable(coder):
