@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that three or more of them share; n_chars follows the text."""
     names = docs.columns
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, counts=False)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[f"`{c}`" for c in names])
