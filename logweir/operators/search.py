@@ -37,6 +37,22 @@ def page(table: LogTable, matching: DataFrame, size: int, offset: int = 0, ascen
     return rows.orderBy(turn(F.col("_mid")), turn(F.col("_rid"))).offset(offset).limit(size).drop("_mid", "_rid")
 
 
+def recent(table: LogTable, matching: DataFrame, size: int, days: list[str], ascending: bool = False) -> list:
+    """The rows of ``page``, day by day from the end that the page begins at, until there are enough.
+
+    days: those of a stored table (``store.days``), oldest first.  Each round looks at twice
+    as many as the one before, so that a page of the newest reads a day or two of years.
+    """
+    if table.day is None:
+        raise RequestError("the table has no days")
+    out, left, step = [], list(days) if ascending else list(days)[::-1], 1
+    while left and len(out) < size:
+        batch, left, step = left[:step], left[step:], step * 2
+        rows = matching.filter(table.day.isin(*[F.lit(d).cast("date") for d in batch]))
+        out += page(table, rows, size - len(out), ascending=ascending).collect()
+    return out
+
+
 def histogram(table: LogTable, matching: DataFrame, interval_ms: int) -> DataFrame:
     """(bucket, docs): rows by time, without empty buckets."""
     if interval_ms <= 0:

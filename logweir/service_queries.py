@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -116,6 +118,16 @@ def _twice(s: SparkSession, d: str) -> DataFrame:
 _add("s_page_of_retried", f"SELECT event_id AS n, mid, 1 AS times FROM (SELECT event_id, {MID} AS mid, lag({MID}) OVER w AS before, lead({MID}) OVER w AS after FROM events WHERE event_type = 'error' WINDOW w AS (ORDER BY {MID} DESC)) ORDER BY mid DESC LIMIT 200 OFFSET 10", _twice)
 
 
+def _recent(s: SparkSession, d: str) -> DataFrame:
+    path, mapping = stored(s, d)
+    t = store.read(s, path, mapping)
+    got = search.recent(t, t.select("kind:error and value:[60, *]").filter("nested_path IS NULL"), 40, [day for day, _ in store.days(s, path)])
+    return s.createDataFrame(got, t.rows.schema).select("mid", F.get_json_object("doc", "$.kind").alias("kind"))
+
+
+_add("o_recent", f"SELECT {MID} AS mid, 'ERROR' AS kind FROM events WHERE event_type = 'error' AND value >= 60 ORDER BY mid DESC LIMIT 40", _recent)
+
+
 def _retained(s: SparkSession, d: str) -> DataFrame:
     path, _ = stored(s, d)
     gone = store.retain(s, path, 0)
@@ -173,9 +185,9 @@ _answered(
     "SELECT 'count' AS what, event_type AS name, CAST(count(*) AS DOUBLE) AS value FROM events WHERE user_id < 50 GROUP BY 2 UNION ALL SELECT 'max', event_type, round(max(value), 4) FROM events WHERE user_id < 50 GROUP BY 2 UNION ALL SELECT 'total', '', count(*) FROM events WHERE user_id < 50 UNION ALL SELECT 'hist', '', count(*) FROM events WHERE user_id < 50",
     lambda e: (lambda a: [("count", b.name, b.value) for b in a.aggs[0][0]] + [("max", b.name, round(b.value, 4)) for b in a.aggs[1][0]] + [("total", "", float(a.total)), ("hist", "", float(sum(a.hist.values())))])(e.complex_search("user_id:[*, 50)", size=3, aggs=[Agg("count", group_by="event_type"), Agg("max", "value", "event_type")], interval_ms=DAY, with_total=True)),
 )
-_answered("c_fetch", "pos long, k string, other string", f"SELECT {_PLACE}, json_extract_string(props, '$.k') AS k, CAST(NULL AS VARCHAR) AS other FROM events WHERE event_type = 'view' ORDER BY pos LIMIT 20", lambda e: [(i, __import__("json").loads(x).get("k") and str(__import__("json").loads(x)["k"]), __import__("json").loads(x).get("other")) for i, (_, x) in enumerate(e.fetch([i for i, _ in e.search("event_type:view", size=20).docs], ["k"]))])
-_answered("c_export", "k string, times long", f"SELECT json_extract_string(props, '$.k') AS k, count(*) AS times FROM (SELECT props FROM events WHERE event_type = 'signup' OR event_type = 'error' ORDER BY {MID} DESC, event_id DESC LIMIT 300) GROUP BY 1", lambda e: list(__import__("collections").Counter(str(__import__("json").loads(x)["k"]) for x in e.export("event_type:in(signup, error)", 300)).items()))
-_answered("c_mapping", "field string, kind string", "SELECT * FROM (VALUES ('event_type', 'keyword'), ('user_id', 'keyword'), ('value', 'keyword'), ('props.k', 'keyword')) AS t(field, kind)", lambda e: list(__import__("json").loads(e.mapping()).items()))
+_answered("c_fetch", "pos long, k string, other string", f"SELECT {_PLACE}, json_extract_string(props, '$.k') AS k, CAST(NULL AS VARCHAR) AS other FROM events WHERE event_type = 'view' ORDER BY pos LIMIT 20", lambda e: [(i, str((doc := json.loads(x))["k"]), doc.get("other")) for i, (_, x) in enumerate(e.fetch([i for i, _ in e.search("event_type:view", size=20).docs], ["k"]))])
+_answered("c_export", "k string, times long", f"SELECT json_extract_string(props, '$.k') AS k, count(*) AS times FROM (SELECT props FROM events WHERE event_type = 'signup' OR event_type = 'error' ORDER BY {MID} DESC, event_id DESC LIMIT 300) GROUP BY 1", lambda e: list(Counter(str(json.loads(x)["k"]) for x in e.export("event_type:in(signup, error)", 300)).items()))
+_answered("c_mapping", "field string, kind string", "SELECT * FROM (VALUES ('event_type', 'keyword'), ('user_id', 'keyword'), ('value', 'keyword'), ('props.k', 'keyword')) AS t(field, kind)", lambda e: list(json.loads(e.mapping()).items()))
 _answered("c_status", "oldest long, newest long, rows_ long", f"SELECT min({MID}) AS oldest, max({MID}) AS newest, count(*) AS rows_ FROM events", lambda e: [tuple(e.status().values())])
 
 
@@ -275,8 +287,6 @@ _constant("x_duration", "spelt string, ms long", lambda: [(x, scalar.duration_ms
 
 def _sent() -> list[tuple]:
     """What answers in JSON make of numbers that JSON lacks."""
-    import json
-
     class Bucket:
         def __init__(self, value):
             self.name, self.value, self.not_exists, self.ts, self.quantiles = "x", value, 0, None, None
