@@ -311,9 +311,11 @@ _add("f_escaped_asterisk", f"SELECT p_partkey FROM part WHERE {_MARK} LIKE '%*%'
 
 
 def _streamed(s: SparkSession, d: str) -> DataFrame:
-    """Request bodies as files, each of them twice, through the stream to the stored table, and what it leaves out."""
+    """Request bodies as files, each sent twice, through the stream to the stored table, which has each document once, and what it leaves out."""
     source, path, bad = (scratch.folder(s, x) for x in ("bodies", "streamed", "left-out"))
-    bodies(s, d).repartition(4).selectExpr("replace(replace(value, '\\\\', '\\\\\\\\'), '\n', '\\\\n') AS value").write.text(source)
+    sent = bodies(s, d).repartition(4).selectExpr("replace(replace(value, '\\\\', '\\\\\\\\'), '\n', '\\\\n') AS value")
+    for _ in range(2):
+        sent.write.mode("append").text(source)
     lines = s.readStream.text(source).selectExpr("replace(value, '\\\\n', '\n') AS value")
     docs = bulk.requests(lines)
     mapping = from_dict(q._SPEC)
@@ -326,7 +328,7 @@ def _streamed(s: SparkSession, d: str) -> DataFrame:
 
 _add(
     "s_stream",
-    f"WITH g AS (SELECT DISTINCT event_id // 100 AS g FROM events) SELECT event_type AS name, CAST(count(*) AS DOUBLE) AS value FROM events WHERE {_FINE} GROUP BY 1 UNION ALL SELECT 'unexpected action line', count(*) FROM g WHERE g % 20 = 7 UNION ALL SELECT r, count(*) FROM g, (VALUES ('not an object'), ('invalid JSON')) AS t(r) WHERE g % 20 <> 7 GROUP BY 1",
+    f"WITH g AS (SELECT DISTINCT event_id // 100 AS g FROM events) SELECT event_type AS name, CAST(count(*) AS DOUBLE) AS value FROM events WHERE {_FINE} GROUP BY 1 UNION ALL SELECT 'unexpected action line', 2 * count(*) FROM g WHERE g % 20 = 7 UNION ALL SELECT r, 2 * count(*) FROM g, (VALUES ('not an object'), ('invalid JSON')) AS t(r) WHERE g % 20 <> 7 GROUP BY 1",
     _streamed,
 )
 
