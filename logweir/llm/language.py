@@ -7,14 +7,17 @@ the sum over all ways to cut it into pieces, which a forward pass over its lette
 yields; a text's is the product of its words'.  The language with the largest one is
 predicted, all languages being equally likely beforehand.
 
-Words are runs of letters in lower case.  Fitting takes a bounded sample of labelled rows
-(``ROWS`` expected for each language); scoring is one pass over the whole texts, in which
-a worker scores a word once and then keeps its sums in a bounded table.
+Words are runs of letters in lower case, of any length: the sums of a run of over ``WORD``
+letters are scaled as they go.  Fitting takes a bounded sample of the distinct texts of
+each language (about ``ROWS``, by a hash, one at least); it learns from longer runs in
+parts of ``WORD`` letters.  Scoring is one pass over the whole texts, in which a worker
+scores a word once and then keeps its sums in a bounded table.
 
 Defined cases: a null text or one without letters has the language ``und`` and score 0,
-as has every text if no language could be learnt; of several languages with the same
-probability the first in alphabetical order; an empty table gives an empty table; columns
-named like the new ones give way to them.
+as has every text if no language could be learnt; copies of a text count once in
+learning; of several languages with the same probability the first in alphabetical order;
+an empty table gives an empty table; more than ``LANGUAGES`` languages are an error;
+columns named like the new ones (in any case) give way to them.
 """
 
 from __future__ import annotations
@@ -32,13 +35,11 @@ from pyspark.sql import types as T
 
 from logweir.llm.common import mix
 
-#: Labelled rows of each language that are learnt from, about; the sample follows a hash of the row.
+#: Distinct texts of each language that are learnt from, about.
 ROWS = 500
-#: Languages that are learnt, at most: those with the most rows.
-LANGUAGES = 500
-#: Letters of a piece, at most, with the mark of the beginning.
-LONGEST = 8
-#: Letters that are taken together; longer runs of letters are cut.
+#: Languages that a model can hold; more raise an error.
+LANGUAGES = 2000
+#: Letters of a run that is looked at among others of its length; longer ones are looked at one by one.
 WORD = 48
 ROUNDS = 4
 #: Words that a worker keeps with their sums.
@@ -53,10 +54,7 @@ def words(text: str | None) -> list[str]:
         return []
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
-    found = _RUNS.findall(text.lower())
-    if max(map(len, found), default=0) > WORD:
-        found = [x[i : i + WORD] for x in found for i in range(0, len(x), WORD)]
-    return found
+    return _RUNS.findall(text.lower())
 
 
 def vocabulary(path: str) -> list[str]:
@@ -65,7 +63,7 @@ def vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     own = {model.id_to_piece(i) for i in range(model.get_piece_size())}
-    return sorted(x for x in own if len(x) <= LONGEST and (y := x.removeprefix(_MARK)) and y == y.lower() and _RUNS.fullmatch(y))
+    return sorted(x for x in own if (y := x.removeprefix(_MARK)) and y == y.lower() and _RUNS.fullmatch(y))
 
 
 class Pieces:
@@ -76,6 +74,7 @@ class Pieces:
         self.bits = max(4, int(len(keys) * 4).bit_length())
         self.keys, self.ids = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
         self.size = len(pieces) + 1
+        self.longest = max(map(len, pieces), default=1)
         todo, at = np.arange(len(keys)), self._slot(keys)
         while len(todo):
             free = self.ids[at[todo]] < 0
@@ -112,7 +111,7 @@ class Pieces:
         out = {}
         for a in range(length):
             key = np.zeros(n, np.uint64)
-            for z in range(a + 1, min(length, a + LONGEST) + 1):
+            for z in range(a + 1, min(length, a + self.longest) + 1):
                 key = key * _STEP + letters[:, z - 1]
                 if a == 0 and z == 1:
                     continue
@@ -138,13 +137,43 @@ def forward(spans: dict[tuple[int, int], np.ndarray], length: int, p: np.ndarray
     """Sums over the segmentations of the first 0 .. length letters; p: (pieces, languages)."""
     n = len(next(iter(spans.values())))
     out = [np.ones((n, p.shape[1]))] + [np.zeros((n, p.shape[1])) for _ in range(length)]
-    for z in range(1, length + 1):
-        for a in range(max(0, z - LONGEST), z):
-            if (found := spans.get((a, z))) is not None and len(at := np.flatnonzero(found >= 0)):
-                out[z][at] += out[a][at] * p[found[at]]
+    for (a, z), found in sorted(spans.items(), key=lambda x: (x[0][1], x[0][0])):
+        if len(at := np.flatnonzero(found >= 0)):
+            out[z][at] += out[a][at] * p[found[at]]
     return out
 
 
+def long_logs(pieces: Pieces, word: str, p: np.ndarray) -> np.ndarray:
+    """The log of the sum over all segmentations of one word of any length."""
+    letters = np.frombuffer((_MARK + word).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    length, most = len(letters), pieces.longest
+    key, ends = np.zeros(length, np.uint64), np.full((length + 1, most + 1), -1, np.int32)
+    for k in range(1, most + 1):  # parts of k letters, by their ends
+        n = length - k + 1
+        if n <= 0:
+            break
+        key = key[:n] * _STEP + letters[k - 1 :]
+        found = pieces.find(key)
+        if k == 1:
+            found = np.where(found < 0, pieces.size - 1, found)
+            found[0] = -1
+        elif k == 2 and found[0] < 0:
+            found[0] = pieces.size - 1
+        ends[k:, k] = found
+    sums, logs = np.zeros((length + 1, p.shape[1])), np.zeros(p.shape[1])
+    sums[0] = 1
+    for z in range(1, length + 1):
+        own = np.flatnonzero(ends[z] >= 0)
+        if len(own):
+            sums[z] = (sums[z - own] * p[ends[z, own]]).sum(0)
+        if z % 16 == 0:  # the last ``most`` sums are scaled together
+            low = max(0, z - most)
+            top = np.maximum(sums[low : z + 1].max(0), 1e-300)
+            sums[low : z + 1] /= top
+            logs += np.log(top)
+    return logs + np.log(np.maximum(sums[length], 1e-300))
+
+
 def learn(pieces: Pieces, counts: dict[str, dict[str, int]], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages and the pieces' probabilities, from the words' counts in each language."""
     langs = sorted(counts)
@@ -159,7 +188,7 @@ def learn(pieces: Pieces, counts: dict[str, dict[str, int]], rounds: int = ROUND
             after = [np.zeros_like(before[0]) for _ in range(length)] + [np.ones_like(before[0])]
             share = often[at] / np.maximum(before[length], 1e-300)
             for a in range(length - 1, -1, -1):
-                for z in range(a + 1, min(length, a + LONGEST) + 1):
+                for z in range(a + 1, min(length, a + pieces.longest) + 1):
                     if (found := spans.get((a, z))) is not None and len(i := np.flatnonzero(found >= 0)):
                         tail = p[found[i]] * after[z][i]
                         after[a][i] += tail
@@ -174,7 +203,7 @@ class Model:
     def __init__(self, pieces: Pieces, langs: list[str], p: np.ndarray):
         self.pieces, self.langs, self.p = pieces, langs, p
         self._at: dict[str, int] = {}
-        self._sums = np.zeros((0, len(langs)), np.float32)
+        self._sums = np.zeros((1024, len(langs)), np.float32)
 
     def __getstate__(self):
         return (self.pieces, self.langs, self.p)
@@ -193,20 +222,25 @@ class Model:
     def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and posterior probability of each text."""
         found = [words(t) for t in texts] if self.langs else [[] for _ in texts]
-        new = {w for ws in found for w in ws if w not in self._at}
+        new = {w for ws in found for w in ws if len(w) <= WORD and w not in self._at}
         if len(self._at) + len(new) > KEPT_WORDS:
-            self._at, self._sums = {}, self._sums[:0]
-            new = {w for ws in found for w in ws}
+            self._at = {}
+            new = {w for ws in found for w in ws if len(w) <= WORD}
         if new:
-            own = sorted(new)
-            self._at.update(zip(own, range(len(self._sums), len(self._sums) + len(own)), strict=True))
-            self._sums = np.concatenate([self._sums, self.logs(own)])
+            own, n = sorted(new), len(self._at)
+            self._at.update(zip(own, range(n, n + len(own)), strict=True))
+            if n + len(own) > len(self._sums):
+                self._sums = np.concatenate([self._sums[:n], np.zeros((n + 2 * len(own), len(self.langs)), np.float32)])
+            self._sums[n : n + len(own)] = self.logs(own)
         out = []
         for ws in found:
             if not ws:
                 out.append(("und", 0.0))
                 continue
-            total = self._sums[list(map(self._at.__getitem__, ws))].sum(0, dtype=np.float64)
+            total = self._sums[[self._at[w] for w in ws if len(w) <= WORD]].sum(0, dtype=np.float64)
+            for w in ws:
+                if len(w) > WORD:
+                    total += long_logs(self.pieces, w, self.p)
             best = int(total.argmax())
             out.append((self.langs[best], float(1 / np.exp(total - total[best]).sum())))
         return out
@@ -214,20 +248,24 @@ class Model:
 
 def fit(docs: DataFrame, vocabulary_path: str, rows: int = ROWS) -> Model:
     """A model of the (text, lang) of ``docs``; the caller leaves out what must not be learnt."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    draw = F.shiftrightunsigned(F.xxhash64("text", F.lit(17)), 2)
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", draw.alias("draw"))
+    kinds = known.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n"), F.min("draw").alias("least")).orderBy("lang").limit(LANGUAGES + 1).collect()
+    if len(kinds) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages")
     pieces = Pieces(vocabulary(vocabulary_path))
-    if not sizes:
+    if not kinds:
         return Model(pieces, [], np.zeros((pieces.size, 0)))
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, rows / n) * 1_000_000) + 1)])
-    sample = known.filter(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1_000_000)) < share[F.col("lang")])
+    most = F.create_map(*[F.lit(x) for r in kinds for x in (r["lang"], max(r["least"], int(min(1.0, rows / r["n"]) * (2**62 - 1))))])
+    sample = known.filter(F.col("draw") <= most[F.col("lang")]).select("text", "lang").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: Counter = Counter()
             for t, x in zip(b.column(0), b.column(1), strict=True):
                 for w in words(t.as_py()):
-                    seen[x.as_py(), w] += 1
+                    for k in range(0, len(w), WORD):
+                        seen[x.as_py(), w[k : k + WORD]] += 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
 
     counts: dict[str, dict[str, int]] = {}
@@ -239,7 +277,7 @@ def fit(docs: DataFrame, vocabulary_path: str, rows: int = ROWS) -> Model:
 def predicted(docs: DataFrame, model: Model, text: str = "text", batch: int = 256) -> DataFrame:
     """docs with lang_pred and score, the posterior probability of that language."""
     new = ["lang_pred", "score"]
-    names = [c for c in docs.columns if c not in new or c == text]
+    names = [c for c in docs.columns if c.lower() not in new or c == text]
     at = names.index(text)
     held = docs.sparkSession.sparkContext.broadcast(model)
 

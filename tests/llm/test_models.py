@@ -37,6 +37,82 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(np.exp(model.logs([word])[0]), want, rtol=1e-5)
 
 
+def segmentations(marked, own):
+    """All ways to cut a marked word into pieces' numbers, by trying every set of cuts."""
+    number = {x: i for i, x in enumerate(own)}
+    for cuts in itertools.product([0, 1], repeat=len(marked) - 1):
+        ends = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(marked)]
+        parts = [marked[a:z] for a, z in zip(ends, ends[1:])]
+        at = [None if x == "▁" else number.get(x, len(own) if len(x.removeprefix("▁")) == 1 else None) for x in parts]
+        if None not in at:
+            yield at
+
+
+def test_learning_counts_pieces_over_all_segmentations():
+    own = ["a", "b", "ab", "▁a", "▁ab", "bab"]
+    counts = {"x": {"abab": 3, "ba": 1, "c": 2}, "y": {"aab": 5, "abab": 1}}
+    langs, p = language.learn(language.Pieces(own), counts, rounds=3)
+    want = np.full((len(own) + 1, 2), 1 / (len(own) + 1))
+    for _ in range(3):
+        seen = np.full(want.shape, 0.01)
+        for k, lang in enumerate(["x", "y"]):
+            for word, n in counts[lang].items():
+                ways = list(segmentations("▁" + word, own))
+                odds = np.array([np.prod(want[at, k]) for at in ways])
+                for at, share in zip(ways, odds / odds.sum()):
+                    for i in at:
+                        seen[i, k] += n * share
+        want = seen / seen.sum(0)
+    assert langs == ["x", "y"] and np.allclose(p, want)
+
+
+def test_quality_weights_are_as_by_plain_updates():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefgh"), 12)) + " good" * (i % 2) for i in range(40)]
+    import pyarrow as pa
+
+    samples = [(i % 2, at, x) for i, (at, x) in enumerate(quality_classifier.rows(pa.array(texts)))]
+    alpha, beta, l1, l2 = 1.0, 1.0, 0.02, 0.1
+    z, n, order = {}, {}, np.random.default_rng(11)
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return (sign * l1 - z[i]) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(3):
+        for k in order.permutation(len(samples)):
+            y, at, x = samples[k]
+            row = dict(zip(at.tolist(), x.tolist())) | {2**quality_classifier.BITS: 1.0}
+            own = {i: weight(i) for i in row}
+            p = 1 / (1 + np.exp(-sum(own[i] * v for i, v in row.items())))
+            for i, v in row.items():
+                g = (p - y) * v
+                before = n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (n[i] ** 0.5 - before**0.5) / alpha * own[i]
+    made = quality_classifier.train(samples)
+    assert np.allclose([made[i] for i in sorted(z)], [weight(i) for i in sorted(z)], atol=1e-5) and np.count_nonzero(made) == sum(weight(i) != 0 for i in z)
+
+
+def test_sums_of_long_words_are_those_of_short_ones_and_do_not_vanish(pieces):
+    rng = np.random.default_rng(2)
+    p = rng.random((pieces.size, 3))
+    model = language.Model(pieces, ["x", "y", "z"], p / p.sum(0))
+    for word in ("a", "straßenbahn", "zzüqxkw", "internationalisation" * 2):
+        assert np.allclose(language.long_logs(pieces, word, model.p), model.logs([word])[0], rtol=1e-4)
+    one, two = (language.long_logs(pieces, "internationalisation" * n, model.p) for n in (50, 100))
+    assert np.all(two < one) and np.allclose(two / one, 2, rtol=0.05)
+    assert pieces.longest > 8 and model.texts(["internationalisation" * 500])[0][1] > 0
+
+
+def test_no_language_is_lost_to_sampling(spark, pieces):
+    rows = [(f"sprache{chr(97 + i)} wort{chr(97 + i) * 3}", f"l{i:02}") for i in range(12) for _ in range(1000)] + [(f"t{chr(97 + i % 26)}{i}", "big") for i in range(3000)]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"), queries.tokenizer_path("piece_bpe_32k.model"))
+    assert model.langs == ["big", *(f"l{i:02}" for i in range(12))]
+
+
 def test_learning_tells_languages_apart(pieces):
     langs, p = language.learn(pieces, {"en": {"the": 50, "house": 9, "with": 20}, "de": {"das": 40, "haus": 9, "mit": 22, "über": 9}})
     model = language.Model(pieces, langs, p)
