@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import heapq
 import json
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import unicodedata
 from collections.abc import Iterator
@@ -363,7 +365,9 @@ class Coder:
 def coder(df: DataFrame, path: str) -> Coder:
     """A coder whose transducer file is handed to every executor."""
     made = Coder(path)
-    place = os.path.join(tempfile.mkdtemp(prefix="logweir-"), f"lexicon-{abs(hash((path, os.path.getmtime(path)))):x}-{os.urandom(4).hex()}.fst")
+    folder = tempfile.mkdtemp(prefix="logweir-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the file as long as it runs
+    place = os.path.join(folder, f"lexicon-{abs(hash((path, os.path.getmtime(path)))):x}-{os.urandom(4).hex()}.fst")
     made.compile().save(place)
     df.sparkSession.sparkContext.addFile(place)
     made.lexicon, made._fst = os.path.basename(place), None
@@ -373,12 +377,12 @@ def coder(df: DataFrame, path: str) -> Coder:
 def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False, batch: int = 256) -> DataFrame:
     """docs plus token_ids (binary: little-endian unsigned 32-bit), n_tokens and, if asked for, decoded_text.
 
-    A column of docs with one of these names gives way to the new one.
+    A column of docs with one of these names (in any case) gives way to the new one.
     """
     made = coder(docs, path)
     new = ["token_ids", "n_tokens", *["decoded_text"] * decoded]
     held = docs.sparkSession.sparkContext.broadcast(made)
-    names = [c for c in docs.columns if c not in new or c == text]
+    names = [c for c in docs.columns if c.lower() not in new or c == text]
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
