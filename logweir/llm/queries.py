@@ -86,4 +86,18 @@ lines AS (
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM flagged GROUP BY r""",
+    "op9_near_dedup": f"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT r, array_to_string(w[i : least(i + 4, len(w))], ' ') AS s
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)
+), sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r), common AS (
+  SELECT a.r AS x, b.r AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.r < b.r GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN sizes a ON a.r = x JOIN sizes b ON b.r = y WHERE 100 * c >= 80 * (a.n + b.n - c)
+), edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links), met AS (
+  SELECT r AS x, r AS y FROM words UNION SELECT met.x, edges.y FROM met JOIN edges ON met.y = edges.x
+), classes AS (SELECT met.x AS r, min(words.doc_id) AS class_id, count(*) AS n_class FROM met JOIN words ON words.r = met.y GROUP BY met.x)
+SELECT doc_id, class_id, n_class, doc_id IS NOT DISTINCT FROM class_id AS stands FROM words JOIN classes USING (r)""",
 }

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pytest
 
 from logweir.llm import near_dedup
 from logweir.llm.common import components
@@ -107,3 +108,12 @@ def test_a_repeated_passage_changes_no_signature():
         batch = pa.RecordBatch.from_arrays([pa.array([" ".join(own + tail)])], ["text"])
         keys.append([x for b in near_dedup._bands(iter([batch])) for x in b.column(0).to_pylist()])
     assert len(keys[0]) == near_dedup.BANDS and keys[0] == keys[1]
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_query_gives_the_rows_of_its_sql(spark, sf):
+    from logweir.llm import queries
+    from tests.oracle import compare, connect
+
+    folder = f"/root/testdata/sf{sf}"
+    assert compare(queries.op9_near_dedup(spark, folder), connect(folder), queries.ORACLE_SQL["op9_near_dedup"]) is None
