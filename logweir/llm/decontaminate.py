@@ -9,8 +9,11 @@ Myers' bit-parallel distance decides around each hit.
 Items are taken in blocks of bounded size, each broadcast and held against all
 documents; documents are never shuffled.
 
-Defined cases: null or empty texts and items match nothing; equal items each match; rows
-of one doc_id are looked at each by itself; an empty table on either side has no matches.
+Defined cases: null or empty texts and items match nothing; equal items each match; of
+several places with the least distance the first counts; rows of one doc_id are looked at
+each by itself; a text of any length is searched whole, and only what lies around hits is
+aligned; other columns of the documents are kept, whatever their names; an empty table on
+either side has no matches.
 """
 
 from __future__ import annotations

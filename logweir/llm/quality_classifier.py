@@ -10,7 +10,10 @@ executors make and the driver gets; scoring is one pass over the documents.
 
 Defined cases: null and empty texts have no features and get the score of the bias;
 without labelled rows every score is 0.5; an empty table gives an empty table; labels of
-documents that do not exist are ignored; columns named like the new one give way to it.
+documents that do not exist are ignored; of several labels of one document the largest
+counts, and of several rows of one doc_id each is learnt from; texts with the same
+features have the same score; a text of any length is read whole; columns named like the
+new one (in any case) give way to it.
 """
 
 from __future__ import annotations
