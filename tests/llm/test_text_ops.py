@@ -218,8 +218,10 @@ def test_quality_verdicts_on_a_table_with_labels(spark):
     sf = "/root/testdata/sf0.1"
     from logweir.llm import queries
 
-    got = queries.op10_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("NOT base_failed").collect()
-    assert all(r.kept for r in got if r.quality == 1) and not any(r.kept for r in got if r.quality == 0)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").selectExpr("doc_id", "quality AS label")
+    got = queries.op10_quality_rules(spark, sf).join(labels, "doc_id").filter("NOT base_failed").collect()
+    assert sum(r.label == 1 for r in got) > 3000 and all(r.kept for r in got if r.label == 1)
+    assert sum(r.label == 0 for r in got) > 250 and not any(r.kept for r in got if r.label == 0)
 
 
 def test_figures_of_a_long_text_are_those_of_its_parts(spark):
