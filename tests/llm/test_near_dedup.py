@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from logweir.llm import near_dedup
+from logweir.llm import common, near_dedup
 from logweir.llm.common import components
 
 
@@ -93,6 +93,22 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert got == {i: 10 for i in range(10, 61)} | {i: 100 for i in range(100, 140)}
 
 
+def test_a_chain_takes_few_rounds_and_its_estimated_size_stays_small(spark, monkeypatch):
+    ids, made = [int(x) for x in np.random.default_rng(5).permutation(300)], []
+    links = spark.createDataFrame([(min(x), max(x)) for x in zip(ids, ids[1:])] + [(1000, 1001)], "a long, b long")
+    plain = common.cut
+
+    def counted(df):
+        made.append(plain(df))
+        assert len(made) < 30
+        return made[-1]
+
+    monkeypatch.setattr(common, "cut", counted)
+    got = components(links)
+    assert {r.node: r.label for r in got.collect()} == dict.fromkeys(ids, 0) | {1000: 1000, 1001: 1000}
+    assert all(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 2000 for df in made)
+
+
 def test_a_repeated_passage_changes_no_signature():
     import pyarrow as pa
 
